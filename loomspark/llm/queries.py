@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import mixing, packing, url_filter
+from loomspark.llm import license_scan, mixing, packing, toxicity, url_filter
+from loomspark.llm._common import LOWER, UPPER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,15 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = url_filter.UrlFilter(url_filter.labelled(spark))
     return fitted.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -28,7 +38,38 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing_sources, op9_url_filter)
+    for f in (op1_best_fit_packing, op2_mixing_sources, op6_license_scan, op8_toxicity, op9_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    import math
+
+    word = license_scan.WORD
+    rows, lists = [], []
+    for label, text in license_scan.TEMPLATES:
+        words = list(dict.fromkeys(text.split()))
+        tokens = ", ".join(f"'{w}'" for w in words)
+        rows.append(f"('{label}', [{tokens}], {math.ceil(license_scan.CONTAINMENT * len(words) - 1e-9)})")
+    for phrase, label in license_scan.PHRASES:
+        parts = phrase.split()
+        fits = " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(parts))
+        lists.append(f"[{{'i': i - 1, 'l': '{label}'}} FOR i IN range(1, len(ws) + 1) IF {fits}]")
+    return f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d),
+    p AS (SELECT doc_id, len(ws) AS n_words, {" || ".join(lists)} AS places FROM w),
+    tm(label, tw, need) AS (VALUES {", ".join(rows)}),
+    lb AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '{word}')) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share FROM lb, tm WHERE len(list_intersect(lw, tw)) >= need),
+    g AS (SELECT doc_id, list(label) AS found, max(share) AS best FROM m GROUP BY doc_id)
+    SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min([x.i FOR x IN places])::BIGINT AS first_word,
+      list_max([x.i FOR x IN places])::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct([x.l FOR x IN places])), ','), '') AS base_labels,
+      coalesce(array_to_string(list_sort(list_distinct([x.l FOR x IN places] || coalesce(found, []))), ','), '') AS labels,
+      CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+    FROM p LEFT JOIN g USING (doc_id)
+    """
+
+
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": _license_sql()}
