@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import license_scan, mixing, packing, toxicity, url_filter
+from loomspark.llm import license_scan, mixing, packing, secret_scan, toxicity, url_filter
 from loomspark.llm._common import LOWER, UPPER
 
 
@@ -26,6 +27,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), secret_scan.Forest(spark))
+    secrets = F.filter("findings", lambda x: x["secret"])
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform(secrets, lambda x: x["kind"]))), ",")
+    starts = F.transform(secrets, lambda x: x["start"])
+    best = F.coalesce(F.array_max(F.transform("findings", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", F.size("findings").alias("n_candidates"), F.size(secrets).alias("n_secrets"), kinds.alias("kinds"), starts.alias("starts"), best.alias("best_score"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -38,7 +48,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing_sources, op6_license_scan, op8_toxicity, op9_url_filter)
+    for f in (op1_best_fit_packing, op2_mixing_sources, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter)
 }
 
 
