@@ -50,7 +50,7 @@ def features(value: Column, before: Column, after: Column, kind: Column) -> dict
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(value), word, "")) / n,
         "path": (value.rlike(r"[/\\].*[/\\]|[.]\w{1,4}$|[(){}$\[\]]") | before.rlike(r"[/\\]$")).cast("double"),
         "near_for": before.rlike(FOR).cast("double"),
-        "near_against": F.concat(before, F.lit(" "), after).rlike(AGAINST).cast("double"),
+        "near_against": F.concat(before, F.lit(" "), F.substring(after, F.lit(1), F.lit(12))).rlike(AGAINST).cast("double"),
         "prefixed": (~kind.isin("assignment", "hex", "base64")).cast("double"),
     }
 
