@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import license_scan, mixing, packing, secret_scan, toxicity, url_filter
+from loomspark.llm import license_scan, mixing, ngram_join, packing, secret_scan, toxicity, url_filter
 from loomspark.llm._common import LOWER, UPPER
 
 
@@ -23,6 +23,10 @@ def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
 
@@ -48,7 +52,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing_sources, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter)
+    for f in (op1_best_fit_packing, op2_mixing_sources, op3_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter)
 }
 
 
