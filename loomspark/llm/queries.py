@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import license_scan, mixing, ngram_join, packing, secret_scan, toxicity, url_filter
+from loomspark.llm import hnsw, license_scan, mixing, ngram_join, packing, secret_scan, toxicity, url_filter
 from loomspark.llm._common import LOWER, UPPER
 
 
@@ -50,9 +50,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hnsw.search(vectors, vectors.where(F.col("vec_id") % hnsw.QUERY_STEP == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing_sources, op3_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter)
+    for f in (op1_best_fit_packing, op2_mixing_sources, op3_ngram_jaccard_join, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter, op10_nearest_neighbours)
 }
 
 
