@@ -261,7 +261,8 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard
         return pd.concat(out)[columns]
 
     copies = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = met.groupBy("shard", "dims", "block").cogroup(copies.groupBy("shard", "dims", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+    met = met.select("query_id", "embedding", *(F.col(c).alias(f"to_{c}") for c in ("shard", "dims", "block")))
+    found = met.groupBy("to_shard", "to_dims", "to_block").cogroup(copies.groupBy("shard", "dims", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
