@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import hnsw, license_scan, mixing, ngram_join, packing, secret_scan, toxicity, url_filter, vector_dedup
+from loomspark.llm import hnsw, license_scan, mixing, ngram_join, packing, secret_scan, substring_dedup, toxicity, url_filter, vector_dedup
 from loomspark.llm._common import LOWER, UPPER
 
 
@@ -31,6 +31,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
 
@@ -61,7 +65,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_mixing_sources, op3_ngram_jaccard_join, op4_embedding_near_dedup, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter, op10_nearest_neighbours)
+    for f in (op1_best_fit_packing, op2_mixing_sources, op3_ngram_jaccard_join, op4_embedding_near_dedup, op5_substring_dedup, op6_license_scan, op7_secret_scan, op8_toxicity, op9_url_filter, op10_nearest_neighbours)
 }
 
 
