@@ -10,6 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm._common import bound
+
 #: Candidate patterns: (kind, Java pattern). The first that fits at a place counts.
 PATTERNS = (
     ("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
@@ -95,32 +97,40 @@ def labelled(n: int = 150, seed: int = 7) -> list[tuple[str, str, str, str, floa
 
 
 class Forest:
-    """A random forest, trained by Spark and kept as a Column expression, so that scoring is one more projection."""
+    """A random forest, trained by Spark and kept as flat arrays, so that scoring is one more expression of a row."""
 
     def __init__(self, spark: SparkSession, findings=None, trees: int = 15, depth: int = 5, seed: int = 11):
         rows = spark.createDataFrame(findings or labelled(), "kind string, value string, before string, after string, label double").coalesce(1)
         rows = rows.select("label", *(c.cast("double").alias(k) for k, c in features(*(F.col(c) for c in ("value", "before", "after", "kind"))).items()))
         ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
-        self.trees = [self._tree(t._call_java("rootNode")) for t in model.trees]
+        # a node: feature (from 0), threshold, places of its children, share of secrets; a leaf is its own child
+        self.depth, self.nodes = depth, []
+        self.roots = [self._add(t._call_java("rootNode")) for t in model.trees]
 
-    def _tree(self, node):
+    def _add(self, node) -> int:
+        at = len(self.nodes)
+        self.nodes.append(None)
         if node.subtreeDepth() == 0:
             clean, secret = node.impurityStats().stats()
-            return secret / (clean + secret)
-        return node.split().featureIndex(), node.split().threshold(), self._tree(node.leftChild()), self._tree(node.rightChild())
+            self.nodes[at] = (0, 0.0, at, at, secret / (clean + secret))
+        else:
+            feature, threshold = node.split().featureIndex(), node.split().threshold()
+            self.nodes[at] = (feature, threshold, self._add(node.leftChild()), self._add(node.rightChild()), 0.0)
+        return at
+
+    def score(self, values: Column) -> Column:
+        """The mean share of secrets in the leaves that an array of FEATURES falls into."""
+        feature, threshold, low, high, share = (F.array(*map(F.lit, x)) for x in zip(*self.nodes, strict=True))
+
+        def step(at: Column) -> Column:
+            return F.when(F.get(values, F.get(feature, at)) <= F.get(threshold, at), F.get(low, at)).otherwise(F.get(high, at))
 
-    def score(self, of: dict[str, Column]) -> Column:
-        def walk(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            feature, at, low, high = tree
-            return F.when(of[FEATURES[feature]] <= at, walk(low)).otherwise(walk(high))
+        def leaf(root: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.lit(self.depth)), root, lambda at, _: step(at))
 
-        total = walk(self.trees[0])
-        for tree in self.trees[1:]:
-            total = total + walk(tree)
-        return total / len(self.trees)
+        total = F.aggregate(F.array(*map(F.lit, self.roots)), F.lit(0.0), lambda acc, root: acc + F.get(share, leaf(root)))
+        return total / len(self.roots)
 
 
 def _kind(match: Column) -> Column:
@@ -163,8 +173,9 @@ def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
         )
 
     def scored(x: Column) -> Column:
-        of = F.transform(F.array(F.struct(*(c.cast("double").alias(k) for k, c in features(x["value"], x["before"], x["after"], x["kind"]).items()))), lambda f: forest.score({k: f[k] for k in FEATURES}))[0]
-        return F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), of.alias("score"), (of >= at).alias("secret"))
+        own = features(x["value"], x["before"], x["after"], x["kind"])
+        score = bound(F.array(*(own[k].cast("double") for k in FEATURES)), forest.score)
+        return bound(score, lambda p: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), p.alias("score"), (p >= at).alias("secret")))
 
     kind = "array<struct<start:int,kind:string,value:string,score:double,secret:boolean>>"
     found = F.when(F.size("_matches") > 0, F.transform(F.transform(placed, judge), scored)).otherwise(F.array().cast(kind))
