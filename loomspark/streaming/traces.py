@@ -48,11 +48,12 @@ class TraceProcessor(StatefulProcessor):
         }).astype({"record_count": "int32"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        new = pd.concat(list(rows))
+        new = new.sort_values(self.order, kind="stable")
         chunk, events, terminal, last = self.meta.get() if self.meta.exists() else (0, 0, False, -1)
         held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         timer = max((int(r[2]) // 1000 for r in held if r[2] is not None), default=None)
-        for event, own, ts in zip(new["event_id"], new["id"], new["_us"], strict=True):
+        for event, own, ts in zip(new["event_id"], new["id"], new["micros"], strict=True):
             event = None if event is None or event != event else event
             held.append((event, own, None if ts != ts else int(ts)))
             events += event is not None
@@ -92,9 +93,9 @@ def stream_traces(parsed: DataFrame, order: Sequence[str] = ("timestamp", "id"),
     are put in order; later than the watermark none is dropped here, it reopens its block. Traces that are still open
     when a stream ends are found by finalize().
     """
-    rows = with_block(parsed).withWatermark("timestamp", "0 seconds").withColumn("_us", F.unix_micros("timestamp"))
+    rows = with_block(parsed).withWatermark("timestamp", "0 seconds").withColumn("micros", F.unix_micros("timestamp"))
     extra = [c for c in order if c not in ("timestamp", "id", "block_id", "event_id")]
-    rows = rows.select("block_id", "event_id", "id", "timestamp", "_us", *extra)
+    rows = rows.select("block_id", "event_id", "id", "timestamp", "micros", *extra)
     return rows.groupBy("block_id").transformWithStateInPandas(TraceProcessor(order, idle_window_s, max_records_per_trace, terminal), TRACE, "Append", "EventTime")
 
 
