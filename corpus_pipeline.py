@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import mixing, packing
-from loomspark.llm._common import written
+from loomspark.llm import mixing, ngram_join, packing, secret_scan, toxicity
+from loomspark.llm._common import dropped, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the multiple-instance model finds toxic go; it learns from the labels table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels), keep=True)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id."""
+    return ngram_join.unique(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; every document stays."""
+    return secret_scan.redacted(docs, secret_scan.Forest(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,14 +34,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("mixing_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
-#: Hash orders, a trained model and a tokenizer can't be told in SQL.
+#: Trained models, hash orders and a tokenizer can't be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,11 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_PATHS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """At the driver's end its tables go, while its session still runs."""
+    for spark, path in _PATHS:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has gone before
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
@@ -49,9 +69,15 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_loom_path", None)
         if path:
-            jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets no more than so many rows go to Python at once in this session: texts may be long, and workers are small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def ascii_lower(c: Column) -> Column:

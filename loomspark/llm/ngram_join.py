@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import components, dropped, written
+from loomspark.llm._common import bounded_batches, components, dropped, written
 
 #: Words in a shingle, and the similarity of a link as a percentage: 100 * |A and B| >= LINK * |A or B|.
 SHINGLE = 5
@@ -17,47 +17,50 @@ BANDS, ROWS = 6, 3
 GROUP = 48
 #: Tokens in more documents than this stand last in the order, unless there are more such tokens than ORDERED.
 HEAVY = 16
-ORDERED = 1_000_000
+ORDERED = 500_000
 #: Share of the smaller set that must be common within two prefixes beyond the first token.
-EXTRA = 0.04
+EXTRA = 0.02
 #: Tables of at most so many rows of two numbers are broadcast; others are joined by a shuffle.
-SMALL = 200_000
+SMALL = 100_000
 
+_ALL = (1 << 64) - 1
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_ODD = tuple((0xD6E8FEB86659FD93 * (2 * i + 1) ^ (0xA0761D6478BD642F >> i)) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(64))
+_ODD = tuple((0xD6E8FEB86659FD93 * (2 * i + 1) ^ (0xA0761D6478BD642F >> i)) & _ALL | 1 for i in range(64))
 
 
-class Shingler:
-    """The shingles of a text as sorted 64-bit hashes."""
+def shingles(texts) -> list:
+    """The distinct shingles of each text (UTF-8 bytes or None) as sorted 64-bit hashes; many texts are hashed as one."""
+    from itertools import chain
 
-    def __init__(self):
-        from xxhash import xxh3_64_intdigest
-
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) > 1_000_000:
-                    self.clear()
-                value = self[word] = xxh3_64_intdigest(word)
-                return value
-
-        self.word = Known().__getitem__
+    import numpy as np
+    from xxhash import xxh3_64_intdigest
 
-    def __call__(self, text: str | None):
-        import numpy as np
+    words = [(t or b"").lower().split() for t in texts]  # of bytes: A-Z and ASCII white space alone
+    counts = np.array([len(w) for w in words], np.int64)
+    total = int(counts.sum())
+    w = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, total)
 
-        words = (text or "").encode().lower().split()  # of bytes: A-Z and ASCII white space alone
-        n = len(words)
-        w = np.fromiter(map(self.word, words), np.uint64, n)
-        if not n:
-            return w
-        k = min(n, SHINGLE)
-        h = np.full(n - k + 1, k * _M2 & 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for i in range(k):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(_M1) + w[i : n - k + 1 + i] * np.uint64(_ODD[i])
+    def mixed(h, k: int):
         h ^= h >> np.uint64(32)
-        h *= np.uint64(_M2)
+        h += np.uint64(k * _M2 & _ALL)
+        h *= np.uint64(_M1)
         h ^= h >> np.uint64(29)
-        return np.unique(h)
+        return h
+
+    def hashed(w, k: int):
+        h = w[: len(w) - k + 1] * np.uint64(_ODD[0])
+        for i in range(1, k):
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(_M1) + w[i : len(w) - k + 1 + i] * np.uint64(_ODD[i])
+        return mixed(h, k)
+
+    long = hashed(w, SHINGLE) if total >= SHINGLE else w[:0]
+    out, start = [], 0
+    for n in counts.tolist():
+        h = long[start : start + n - SHINGLE + 1] if n >= SHINGLE else hashed(w[start : start + n], n) if n else w[:0]
+        h = np.sort(h)
+        out.append(h[np.r_[True, h[1:] != h[:-1]]] if len(h) > 1 else h)
+        start += n
+    return out
 
 
 def identity(tokens) -> int:
@@ -65,7 +68,7 @@ def identity(tokens) -> int:
     import numpy as np
 
     mixed = (tokens ^ (tokens >> np.uint64(31))) * np.uint64(_M1)
-    total = (len(tokens) * _M2 + int(np.add.reduce(mixed ^ (mixed >> np.uint64(30))))) & 0xFFFFFFFFFFFFFFFF
+    total = (len(tokens) * _M2 + int(np.add.reduce(mixed ^ (mixed >> np.uint64(30))))) & _ALL
     return total - (1 << 64) if total >> 63 else total
 
 
@@ -94,44 +97,84 @@ def _features(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    shingles = Shingler()
     odd = np.array(_ODD[8 : 8 + BANDS * ROWS], np.uint64)[:, None]
     for batch in batches:
-        sizes, ids, bands = [], [], []
-        for text in batch.column(1):
-            t = shingles(text.as_py())
-            sizes.append(len(t))
-            ids.append(identity(t) if len(t) else 0)
+        sets = shingles(batch.column(1).to_pylist())
+        bands = []
+        for t in sets:
             if len(t):
                 least = (t * odd ^ (t >> np.uint64(17))).min(axis=1).tolist()
                 bands.append([hash(tuple(least[i * ROWS : (i + 1) * ROWS])) for i in range(BANDS)])
             else:
                 bands.append([])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "class", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in sets], pa.int64()), pa.array([identity(t) if len(t) else 0 for t in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "class", "bands"])
 
 
-def _common_tokens(batches: Iterator) -> Iterator:
-    """(token, documents): of the lowest quarter of each set, counted within the task's batches."""
-    import numpy as np
-    import pyarrow as pa
+def _common_tokens(heavy=None):
+    """(token, documents) of the first quarter of each set, counted within the task's batches.
 
-    shingles, held, size = Shingler(), [], 0
+    With heavy tokens known from there: of what such tokens move into prefixes, which is the next quarter, and the
+    rest of the set where they are many.
+    """
 
-    def out():
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count, pa.int64())], ["token", "count"])
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    for batch in batches:
-        for text in batch.column(1):
-            t = shingles(text.as_py())
-            if len(t):
-                held.append(t[: len(t) // 4 + 1])
-                size += len(held[-1])
-        if size > 2_000_000:
+        held, size = [], 0
+        late = None if heavy is None else heavy.value
+
+        def out():
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count, pa.int64())], ["token", "count"])
+
+        for batch in batches:
+            for t in shingles(batch.column(1).to_pylist()):
+                quarter = len(t) // 4 + 1
+                if late is None:
+                    part = t[:quarter]
+                else:
+                    n = _in(t[:quarter], late).sum()
+                    part = t[quarter : len(t) if 5 * n >= quarter else 2 * quarter] if n else t[:0]
+                if len(part):
+                    held.append(part)
+                    size += len(part)
+            if size > 1_000_000:
+                yield out()
+                held, size = [], 0
+        if held:
             yield out()
-            held, size = [], 0
-    if held:
-        yield out()
+
+    return run
+
+
+def _in(tokens, heavy):
+    import numpy as np
+
+    return heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+
+
+def _heavy(docs: DataFrame):
+    """The heaviest tokens, sorted: those in more than HEAVY documents, the ORDERED heaviest classes of them at most."""
+    import numpy as np
+
+    spark = docs.sparkSession
+
+    def heaviest(count):
+        counts = docs.mapInArrow(count, "token long, count long").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") > HEAVY)
+        counts = written(counts.withColumn("step", F.floor(F.log2("n"))), "ngram-heavy")
+        steps = {r["step"]: r["c"] for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("c")).collect()}
+        least = 0
+        while sum(c for s, c in steps.items() if s >= least) > ORDERED:
+            least += 1
+        found = np.sort(counts.where(F.col("step") >= least).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+        dropped(counts)
+        return found
+
+    first = heaviest(_common_tokens())
+    if not len(first):
+        return first
+    return np.union1d(first, heaviest(_common_tokens(spark.sparkContext.broadcast(first))))
 
 
 def _order(tokens, heavy):
@@ -140,64 +183,70 @@ def _order(tokens, heavy):
 
     if not len(heavy):
         return tokens
-    late = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+    late = _in(tokens, heavy)
     return np.concatenate([tokens[~late], tokens[late]]) if late.any() else tokens
 
 
+def _combined(held: list) -> Iterator:
+    """Batches of matrix rows from (grp, n, tokens): the first place of each token, group and size."""
+    import numpy as np
+    import pyarrow as pa
+
+    lengths = np.array([len(t) for _, _, t in held])
+    token = np.concatenate([t for _, _, t in held]).view(np.int64)
+    grp, n = (np.repeat(np.array([x[i] for x in held], np.int64), lengths) for i in (0, 1))
+    pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+    twice = len(held) - len({x[:2] for x in held})
+    if twice:  # some group and size has several members
+        by = np.lexsort((pos, n, grp, token))
+        token, grp, n, pos = token[by], grp[by], n[by], pos[by]
+        first = np.r_[True, (token[1:] != token[:-1]) | (grp[1:] != grp[:-1]) | (n[1:] != n[:-1])]
+        token, grp, n, pos = token[first], grp[first], n[first], pos[first]
+    for i in range(0, len(token), 50_000):
+        part = slice(i, i + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(grp[part]), pa.array(n[part].astype(np.int32)), pa.array(pos[part].astype(np.int32))], ["token", "grp", "n", "pos"])
+
+
+def _rows(sets: Iterator) -> Iterator:
+    held, size = [], 0
+    for x in sets:
+        held.append(x)
+        size += len(x[2])
+        if size > 500_000:
+            yield from _combined(held)
+            held, size = [], 0
+    if held:
+        yield from _combined(held)
+
+
 def _matrix(spark: SparkSession, docs: DataFrame, group: DataFrame, few: bool, heavy) -> DataFrame:
     """Rows (token, grp, n, pos) of the token-group matrix: grp has a member of size n with token at place pos at first.
 
-    Members of one group and size are one row for each token and task; a hot group doesn't make hot tokens.
+    Members of one group and size are one row for each token and task; a hot group doesn't make hot tokens. Groups of
+    a bounded number of classes are broadcast.
     """
-    shared = spark.sparkContext.broadcast(heavy)
+    import numpy as np
 
-    def prefixes(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    late = spark.sparkContext.broadcast(heavy)
 
-        shingles, late = Shingler(), shared.value
+    def prefixes(batches: Iterator) -> Iterator:
         for batch in batches:
-            ids, sizes, parts = [], [], []
-            for text in batch.column(1):
-                t = shingles(text.as_py())
+            for t in shingles(batch.column(1).to_pylist()):
                 if len(t):
-                    ids.append(identity(t))
-                    sizes.append(len(t))
-                    parts.append(_order(t, late)[: prefix(len(t))].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["class", "n", "tokens"])
+                    yield identity(t), len(t), _order(t, late.value)[: prefix(len(t))]
 
-    def rows(batches: Iterator) -> Iterator:
-        import numpy as np
+    def listed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held: list = []
-
-        def out():
-            token = np.concatenate([np.frombuffer(t, np.int64) for _, _, t in held])
-            lengths = np.array([len(t) // 8 for _, _, t in held])
-            grp, n = (np.repeat(np.array([x[i] for x in held], np.int64), lengths) for i in (0, 1))
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
-            # the first of each (token, grp, n)
-            by = np.lexsort((pos, n, grp, token))
-            first = np.r_[True, (np.diff(token[by]) != 0) | (np.diff(grp[by]) != 0) | (np.diff(n[by]) != 0)]
-            by = by[first]
-            for i in range(0, len(by), 50_000):
-                b = by[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(token[b]), pa.array(grp[b]), pa.array(n[b].astype(np.int32)), pa.array(pos[b].astype(np.int32))], ["token", "grp", "n", "pos"])
-
-        size = 0
         for batch in batches:
-            for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held.append(x)
-                size += len(x[2])
-                if size > 8_000_000:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+            own = list(prefixes([batch]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2].tobytes() for x in own], pa.binary())], ["class", "n", "tokens"])
+
+    def exploded(batches: Iterator) -> Iterator:
+        return _rows((g, n, np.frombuffer(t, np.uint64)) for batch in batches for g, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
-    parts = docs.select("doc_id", "text").mapInArrow(prefixes, "class long, n long, tokens binary")
-    parts = parts.join(F.broadcast(group) if few else group, "class", "left").select(F.coalesce("grp", "class").alias("grp"), "n", "tokens")
-    return parts.mapInArrow(rows, "token long, grp long, n int, pos int")
+    parts = docs.mapInArrow(listed, "class long, n long, tokens binary").join(F.broadcast(group) if few else group, "class", "left")
+    return parts.select(F.coalesce("grp", "class").alias("grp"), "n", "tokens").mapInArrow(exploded, "token long, grp long, n int, pos int")
 
 
 def _meeting(batches: Iterator) -> Iterator:
@@ -316,9 +365,8 @@ def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingles = Shingler()
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
+            sets = shingles(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([identity(s) if len(s) else 0 for s in sets], pa.int64())], ["want", "tokens", "class"])
 
     need = needed.select(F.col("class").alias("want"), F.col("rep").alias("doc_id")).distinct()
@@ -345,7 +393,8 @@ def join(docs: DataFrame) -> DataFrame:
     columns aren't read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    bounded_batches(spark)
     feats = written(docs.mapInArrow(_features, "doc_id long, n long, class long, bands array<long>"), "ngram-features")
     classes = written(feats.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")), "ngram-classes")
 
@@ -362,17 +411,7 @@ def join(docs: DataFrame) -> DataFrame:
     near = written(opened.groupBy("band", "key", "part").applyInPandas(_open, "u long, v long"), "ngram-links")
     group = written(components(near, "ngram-group").select(F.col("node").alias("class"), F.col("component").alias("grp")), "ngram-group")
 
-    # the order of tokens: the heaviest last
-    counts = docs.mapInArrow(_common_tokens, "token long, count long").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") > HEAVY)
-    counts = written(counts, "ngram-heavy")
-    steps = {r["step"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    least = 0
-    while sum(c for s, c in steps.items() if s >= least) > ORDERED:
-        least += 1
-    import numpy as np
-
-    heavy = np.sort(np.array([r["token"] for r in counts.where(F.floor(F.log2("n")) >= least).select("token").collect()], np.int64).view(np.uint64))
-
+    heavy = _heavy(docs)
     few = group.count() <= SMALL
     matrix = _matrix(spark, docs, group, few, heavy).repartition("token").sortWithinPartitions("token", "grp", "n")
     pairs = matrix.mapInArrow(_meeting, "a long, na long, b long, nb long, common long").groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
@@ -402,3 +441,18 @@ def join(docs: DataFrame) -> DataFrame:
     out = feats.select("doc_id", "n", "class").withColumn("_own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")))
     out = out.join(component.withColumnRenamed("class", "_own"), "_own", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of join(): that of the smallest doc_id, as it is; rows without doc_id stay.
+
+    Of rows that share the doc_id the one with the least text stays. What goes is the smaller part, so it is what is
+    joined, broadcast while it is small.
+    """
+    found = written(join(docs).select("doc_id", "component_id"), "ngram-components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+        out = out.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+    return out.select(*docs.columns)

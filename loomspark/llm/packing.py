@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import ranked_within, written
+from loomspark.llm._common import bounded_batches, ranked_within, written
 
 #: Most tokens of a sequence.
 SEQUENCE = 2048
@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
     Null and empty texts are a document of the end id alone. Whatever else docs holds is not read.
     """
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import zlib

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._common import bounded_batches
+
 #: Sentences end at these; words are what stands between, lower-cased.
 TOKEN = re.compile(r"[.!?\n]|[^\W_]+")
 ENDS = frozenset(".!?\n")
@@ -28,13 +30,13 @@ def _features(word: str) -> tuple[int, ...]:
 
 
 class _Known(dict):
-    """Word to value, computed once; emptied when a million words are known."""
+    """Word to value, computed once; emptied when it is large."""
 
     def __init__(self, of):
         self.of = of
 
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = self.of(word)
         return value
@@ -147,6 +149,7 @@ def score(docs: DataFrame, model, at: float = AT, keep: bool = False) -> DataFra
     score 0. A null doc_id is scored, and is not held out. Repeated rows are scored each; no rows give no rows; other
     columns are read only with keep, which gives the rows of docs that are not predicted toxic, as they are.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model[0], float(model[1])))
 
     def judged(texts):
