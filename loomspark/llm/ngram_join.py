@@ -259,13 +259,23 @@ def _meeting(batches: Iterator) -> Iterator:
     def pairs(token, grp, n, pos):
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[start, len(token)])
-        for s, k in zip(start[length > 1].tolist(), length[length > 1].tolist(), strict=True):
+        # tokens of two rows at once, then the others that several groups hold
+        i = start[length == 2]
+        i = i[grp[i] != grp[i + 1]]
+        if len(i):
+            a, b = n[i].astype(np.int64), n[i + 1].astype(np.int64)
+            need = overlap(a, b)
+            more = shared(a, b, need)
+            fits = (need <= np.minimum(a, b)) & (pos[i] <= a - need + more) & (pos[i + 1] <= b - need + more)
+            i = i[fits]
+            x, y = np.where(grp[i] < grp[i + 1], i, i + 1), np.where(grp[i] < grp[i + 1], i + 1, i)
+            found.append(np.stack([grp[x], n[x], grp[y], n[y]], 1).astype(np.int64))
+        if len(start):
+            several = (length > 2) & (np.minimum.reduceat(grp, start) != np.maximum.reduceat(grp, start))
+            start, length = start[several], length[several]
+        for s, k in zip(start.tolist(), length.tolist(), strict=True):
             g, m, p = grp[s : s + k], n[s : s + k].astype(np.int64), pos[s : s + k]
-            if k == 2 and g[0] == g[1]:
-                continue
             names, at, often = np.unique(g, return_inverse=True, return_counts=True)
-            if len(names) < 2:
-                continue
             # rows of all groups but the largest meet all rows, in blocks
             own = np.flatnonzero(at != often.argmax())
             for i in range(0, len(own), max(1, 4_000_000 // k)):
@@ -307,7 +317,7 @@ def _meeting(batches: Iterator) -> Iterator:
             yield out()
     if rest is not None and len(rest[0]):
         pairs(*rest)
-    if found:
+    if sum(map(len, found)):
         yield out()
 
 
@@ -454,5 +464,5 @@ def unique(docs: DataFrame) -> DataFrame:
     out = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
         first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("_first", first).where("_first = 1 or doc_id is null").drop("_first")
+        out = out.withColumn("__loom_first", first).where("__loom_first = 1 or doc_id is null").drop("__loom_first")
     return out.select(*docs.columns)
