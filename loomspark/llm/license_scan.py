@@ -76,7 +76,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
     hints = sorted({w for p in prefixes for w in p} | set(last))
     hint = rf"(?i)(?<![0-9a-z])(?:{'|'.join(hints)})(?![0-9a-z])"
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", F.when(F.col("_text").rlike(hint), F.regexp_extract_all(_lower(F.col("_text")), F.lit(WORD), F.lit(0))))
+    out = docs.withColumn("__loom_text", text).withColumn("__loom_words", F.when(F.col("__loom_text").rlike(hint), F.regexp_extract_all(_lower(F.col("__loom_text")), F.lit(WORD), F.lit(0))))
 
     # places: (start, label) of the phrases, found at their last words
     def starts(w: Column, i: Column) -> Column:
@@ -91,8 +91,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
         return at
 
     index = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)))
-    found = F.when(F.exists("_words", lambda x: x.isin(last)), F.filter(F.transform(index(F.col("_words")), lambda i: starts(F.col("_words"), i)), lambda x: x.isNotNull()))
-    out = out.withColumn("_places", F.coalesce(found, F.array().cast("array<struct<start:bigint,label:string>>")))
+    found = F.when(F.exists("__loom_words", lambda x: x.isin(last)), F.filter(F.transform(index(F.col("__loom_words")), lambda i: starts(F.col("__loom_words"), i)), lambda x: x.isNotNull()))
+    out = out.withColumn("__loom_places", F.coalesce(found, F.array().cast("array<struct<start:bigint,label:string>>")))
 
     def match(line: Column, words: Column) -> Column:
         all_ = []
@@ -103,20 +103,20 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
         return F.filter(F.array(*all_), lambda x: x.isNotNull())
 
     rare = rf"(?i)(?<![0-9a-z])(?:{'|'.join(sorted({w for p in prefixes for w in p}))})(?![0-9a-z])"
-    lines = F.filter(F.transform(F.split(_lower(F.col("_text")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(rare))
+    lines = F.filter(F.transform(F.split(_lower(F.col("__loom_text")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(rare))
     blocks = F.flatten(F.transform(lines, lambda x: bound(F.array_distinct(F.regexp_extract_all(x["text"], F.lit(WORD), F.lit(0))), lambda w: match(x["line"], w))))
-    out = out.withColumn("blocks", F.when(F.col("_words").isNotNull(), blocks).otherwise(F.array().cast("array<struct<line:bigint,label:string,containment:double>>")))
+    out = out.withColumn("blocks", F.when(F.col("__loom_words").isNotNull(), blocks).otherwise(F.array().cast("array<struct<line:bigint,label:string,containment:double>>")))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    base = F.transform("_places", lambda x: x["label"])
-    starts_ = F.transform("_places", lambda x: x["start"])
+    base = F.transform("__loom_places", lambda x: x["label"])
+    starts_ = F.transform("__loom_places", lambda x: x["start"])
     return out.withColumns(
         {
-            "n_words": F.regexp_count("_text", F.lit(RAW)).cast("long"),
-            "n_base": F.size("_places").cast("long"),
+            "n_words": F.regexp_count("__loom_text", F.lit(RAW)).cast("long"),
+            "n_base": F.size("__loom_places").cast("long"),
             "first_word": F.array_min(starts_),
             "last_word": F.array_max(starts_),
             "base_labels": joined(base),
             "labels": joined(F.concat(base, F.transform("blocks", lambda x: x["label"]))),
-            "score": F.when(F.size("_places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))),
+            "score": F.when(F.size("__loom_places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["containment"])), F.lit(0.0))),
         }
-    ).drop("_text", "_words", "_places")
+    ).drop("__loom_text", "__loom_words", "__loom_places")

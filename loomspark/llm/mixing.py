@@ -49,19 +49,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: int = 4
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     n = docs.count()
-    sized = docs.select("*", words(F.col("text")).alias("size"), F.col("source").isNull().alias("_no"), F.coalesce("source", F.lit("")).alias("_source"), F.xxhash64("doc_id", F.lit(seed)).alias("_key"))
-    sized = sized.withColumn("_range", hash_range(F.col("_key"), n_ranges(n)))
-    cols = ["_no", "_source", "_range"]
-    ranges = written(sized.groupBy(*cols).agg(F.sum("size").alias("_words")), "ranges")
-    sources = targets(ranges.groupBy(F.col("_no").alias("no"), F.col("_source").alias("key")).agg(F.sum("_words").alias("source_size")), weights, most)
-    before = ranges.withColumn("_before", F.coalesce(F.sum("_words").over(Window.partitionBy("_no", "_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_words")
-    known = before.join(sources.withColumnsRenamed({"no": "_no", "key": "_source"}), ["_no", "_source"]).drop("weight")
-    within = F.coalesce(F.sum("size").over(Window.partitionBy(*cols).orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = docs.withColumns({"size": words(F.col("text")), "__loom_no": F.col("source").isNull(), "__loom_source": F.coalesce("source", F.lit("")), "__loom_key": F.xxhash64("doc_id", F.lit(seed))})
+    sized = sized.withColumn("__loom_range", hash_range(F.col("__loom_key"), n_ranges(n)))
+    cols = ["__loom_no", "__loom_source", "__loom_range"]
+    ranges = written(sized.groupBy(*cols).agg(F.sum("size").alias("__loom_words")), "ranges")
+    sources = targets(ranges.groupBy(F.col("__loom_no").alias("no"), F.col("__loom_source").alias("key")).agg(F.sum("__loom_words").alias("source_size")), weights, most)
+    before = ranges.withColumn("__loom_before", F.coalesce(F.sum("__loom_words").over(Window.partitionBy("__loom_no", "__loom_source").orderBy("__loom_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__loom_words")
+    known = before.join(sources.withColumnsRenamed({"no": "__loom_no", "key": "__loom_source"}), ["__loom_no", "__loom_source"]).drop("weight")
+    within = F.coalesce(F.sum("size").over(Window.partitionBy(*cols).orderBy("__loom_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    out = sized.withColumn("_within", within).join(known, cols).withColumn("_epochs", epochs)
-    rest = F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long")
-    taken = F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_within")))
-    return out.withColumn("taken", taken.cast("long")).drop("_no", "_source", "_key", "_range", "_before", "_within", "_epochs")
+    out = sized.withColumn("__loom_within", within).join(known, cols).withColumn("__loom_epochs", epochs)
+    rest = F.round(F.col("target") - F.col("__loom_epochs") * F.col("source_size")).cast("long")
+    taken = F.col("__loom_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__loom_before") - F.col("__loom_within")))
+    return out.withColumn("taken", taken.cast("long")).drop("__loom_no", "__loom_source", "__loom_key", "__loom_range", "__loom_before", "__loom_within", "__loom_epochs")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -70,11 +70,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A document that is taken in part keeps the text up to the last word taken. Documents of which nothing is taken go,
     and so do those without a word.
     """
-    cols = docs.columns
-    out = mix(docs, **options).where("taken > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
-    left = (F.col("taken") - (F.col("_n") - 1) * F.col("size")).cast("int")
+    row = docs.select(F.struct(*docs.columns).alias("__loom_row"), "doc_id", "text", "source")
+    out = mix(row, **options).where("taken > 0").withColumn("__loom_n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = (F.col("taken") - (F.col("__loom_n") - 1) * F.col("size")).cast("int")
     space = r"[\x20\x09-\x0D]+"
     bare = F.regexp_replace("text", "^" + space, "")
     over = F.length(F.element_at(F.split(bare, space, left + 1), -1))
-    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - over)))
-    return out.withColumn("text", text).select(*cols)
+    text = F.when(left >= F.col("size"), F.col("text")).otherwise(F.regexp_replace(F.substring(bare, F.lit(1), F.length(bare) - over), space + "$", ""))
+    return out.select(*(text.alias(c) if c == "text" else F.col("__loom_row")[c].alias(c) for c in docs.columns))

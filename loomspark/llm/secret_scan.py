@@ -148,11 +148,11 @@ def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
     """
     docs = docs.drop("findings")
     matches = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("|".join(p for _, p in PATTERNS)), F.lit(0))
-    out = docs.withColumn("_matches", matches)
+    out = docs.withColumn("__loom_matches", matches)
     none = F.array().cast("array<struct<start:int,match:string>>")
     # where the matches stand: each is looked for from the end of the one before
     placed = F.aggregate(
-        "_matches",
+        "__loom_matches",
         F.struct(F.lit(1).alias("at"), none.alias("found")),
         lambda acc, m: F.transform(
             F.array(F.call_function("locate", m, F.col("text"), acc["at"])),
@@ -178,17 +178,17 @@ def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
         return bound(score, lambda p: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), p.alias("score"), (p >= at).alias("secret")))
 
     kind = "array<struct<start:int,kind:string,value:string,score:double,secret:boolean>>"
-    found = F.when(F.size("_matches") > 0, F.transform(F.transform(placed, judge), scored)).otherwise(F.array().cast(kind))
-    return out.withColumn("findings", found.cast(kind)).drop("_matches")
+    found = F.when(F.size("__loom_matches") > 0, F.transform(F.transform(placed, judge), scored)).otherwise(F.array().cast(kind))
+    return out.withColumn("findings", found.cast(kind)).drop("__loom_matches")
 
 
 def redacted(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
     """docs with the secrets in text masked; all rows and all other columns stay as they are."""
-    cols = docs.columns
-    out = scan(docs, forest, at)
+    out = scan(docs.select(F.struct(*docs.columns).alias("__loom_row"), "text"), forest, at)
     secrets = F.reverse(F.filter("findings", lambda x: x["secret"]))
     masked = F.aggregate(
         secrets, F.col("text"),
         lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"] - 1), F.lit(MASK), F.substring(t, x["start"] + F.length(x["value"]), F.length(t))),
     )
-    return out.withColumn("text", F.when(F.exists("findings", lambda x: x["secret"]), masked).otherwise(F.col("text"))).select(*cols)
+    text = F.when(F.exists("findings", lambda x: x["secret"]), masked).otherwise(F.col("text"))
+    return out.select(*(text.alias(c) if c == "text" else F.col("__loom_row")[c].alias(c) for c in docs.columns))

@@ -59,11 +59,11 @@ class UrlFilter:
 
     def __init__(self, labelled: DataFrame, dims: int = 1 << 14, at: float = 0.5, rules=RULES):
         self.rules, self.at = rules, at
-        self.hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=dims, binary=True)
-        self.model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_predicted", regParam=0.01, maxIter=40, standardization=False).fit(self._features(labelled))
+        self.hashing = HashingTF(inputCol="__loom_grams", outputCol="__loom_features", numFeatures=dims, binary=True)
+        self.model = LogisticRegression(featuresCol="__loom_features", labelCol="label", probabilityCol="__loom_probability", rawPredictionCol="__loom_raw", predictionCol="__loom_predicted", regParam=0.01, maxIter=40, standardization=False).fit(self._features(labelled))
 
     def _features(self, df: DataFrame) -> DataFrame:
-        return self.hashing.transform(df.withColumn("_grams", grams(host(F.col("url")), path(F.col("url")))))
+        return self.hashing.transform(df.withColumn("__loom_grams", grams(host(F.col("url")), path(F.col("url")))))
 
     def judge(self, pages: DataFrame) -> DataFrame:
         """pages with host, path, rule, score (0 to 1, higher: unwanted) and verdict.
@@ -72,7 +72,7 @@ class UrlFilter:
         Repeated rows are judged each; no rows give no rows; other columns pass through, and columns of pages that have
         the names of the results are replaced. No row is shuffled.
         """
-        out = self.model.transform(self._features(pages.drop("host", "path", "rule", "score", "verdict")))
-        out = out.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "score": vector_to_array("_probability")[1]})
-        out = out.withColumn("rule", rule(F.col("host"), F.col("path"), self.rules)).drop("_grams", "_features", "_probability", "_raw", "_predicted")
+        out = self.model.transform(self._features(pages.drop("host", "path", "rule", "score", "verdict", "__loom_grams", "__loom_features", "__loom_probability", "__loom_raw", "__loom_predicted")))
+        out = out.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "score": vector_to_array("__loom_probability")[1]})
+        out = out.withColumn("rule", rule(F.col("host"), F.col("path"), self.rules)).drop("__loom_grams", "__loom_features", "__loom_probability", "__loom_raw", "__loom_predicted")
         return out.withColumn("verdict", F.coalesce(rule(F.col("host"), F.col("path"), self.rules, verdict=True), F.when(F.col("score") >= self.at, "block").otherwise("allow")))
