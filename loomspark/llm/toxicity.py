@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded_batches
+from loomspark.llm._common import bounded_batches, lean
 
 #: Sentences end at these; words are what stands between, lower-cased.
 TOKEN = re.compile(r"[.!?\n]|[^\W_]+")
@@ -18,15 +18,15 @@ ENDS = frozenset(".!?\n")
 
 #: The sample that a model is fitted on: at most so many labelled rows of each class, those with the smallest hashes.
 MOST_TOXIC, MOST_CLEAN = 2000, 5000
-DIMS = 1 << 18
 AT = 0.3
 
 
 def _features(word: str) -> tuple[int, ...]:
-    """Hashed features of a word: itself and its first four and five characters, so that rare forms share weights."""
+    """Features of a word, as 32-bit hashes: itself and its first four and five characters, so that rare forms share
+    weights. So wide a space keeps the few features with weights free of other words."""
     own = {b"w" + word.encode()}
     own |= {b"p" + word[:n].encode() for n in (4, 5) if len(word) > n}
-    return tuple(zlib.crc32(x) % DIMS for x in sorted(own))
+    return tuple(zlib.crc32(x) for x in sorted(own))
 
 
 class _Known(dict):
@@ -42,69 +42,87 @@ class _Known(dict):
         return value
 
 
-def _train(sample: list[tuple[int, list[tuple[int, ...]]]], epochs: int = 200, rate: float = 1.5, least: float = 1.2):
-    """Weights of features and a bias: noisy-or log likelihood with an L1 penalty; a document is its sentences.
+def _indexed(text: str, index: dict[str, int]):
+    """(numbers of the words in index, numbers of words in each sentence) of a text; new words get the next number."""
+    import numpy as np
+
+    words, lengths, n = [], [], 0
+    for token in TOKEN.findall(text.lower()):
+        if token in ENDS:
+            if n:
+                lengths.append(n)
+                n = 0
+        else:
+            words.append(index.setdefault(token, len(index)))
+            n += 1
+    return np.array(words, np.int32), np.array([*lengths, n] if n else lengths, np.int32)
+
+
+def _train(sample: list[tuple], index: dict[str, int], epochs: int = 200, rate: float = 1.5, least: float = 1.2):
+    """({feature: weight}, bias): noisy-or log likelihood with an L1 penalty, of (label, words, lengths of sentences).
 
     Proximal gradient steps with momentum, scaled by how many documents a feature is in. The penalty is worth the
-    gradient of least times the square root of a feature's documents, so chance gets no weight; features of fewer than three
-    documents are left out. The last steps fit what is left almost without the penalty, which had drawn it to 0.
-    Weights are not negative: a sentence without evidence has the bias alone.
+    gradient of least times the square root of a feature's documents, so chance gets no weight; features of fewer than
+    three documents are left out. The last steps fit what is left almost without the penalty, which had drawn it to 0.
+    Weights are not negative: a sentence without evidence has the bias alone. A word's weight is the sum of its
+    features', so that tokens are gone through once a step.
     """
     import numpy as np
 
-    w = np.zeros(DIMS, np.float32)
-    sample = [(y, s) for y, s in sample if s]
-    if not sample or len({y for y, _ in sample}) < 2:
-        return w, -8.0
-    y = np.array([y for y, _ in sample], dtype=float)
-    ids = np.fromiter((f for _, doc in sample for s in doc for f in s), np.int64)
-    sentence = np.repeat(np.arange(sum(len(d) for _, d in sample)), [len(s) for _, d in sample for s in d])
-    doc = np.repeat(np.arange(len(sample)), [len(d) for _, d in sample])
+    sample = [x for x in sample if len(x[1])]
+    if not sample or len({x[0] for x in sample}) < 2:
+        return {}, -8.0
+    y = np.array([x[0] for x in sample], dtype=float)
+    word = np.concatenate([x[1] for x in sample])
+    lengths = np.concatenate([x[2] for x in sample])
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(x[2]) for x in sample])
     n = len(doc)
-    both = np.unique(ids * len(y) + doc[sentence])
-    known, often = np.unique(both // len(y), return_counts=True)
+    sentence = np.repeat(np.arange(n, dtype=np.int32), lengths)
+    start = np.cumsum(lengths) - lengths
+    # features of words, and how many documents they are in
+    own = [_features(w) for w in index]
+    width = np.array([len(f) for f in own])
+    known, feature = np.unique(np.fromiter((f for x in own for f in x), np.int64), return_inverse=True)
+    n_words, of = len(own), np.repeat(np.arange(len(own), dtype=np.int32), width)
+    del own
+    table = np.full((n_words, width.max()), len(known), np.int32)
+    table[of, np.arange(len(of)) - np.repeat(np.cumsum(width) - width, width)] = feature
+    often = np.zeros(len(known) + 1, np.int64)
+    for x in sample:
+        often[np.unique(table[np.unique(x[1])])] += 1
+    often = often[:-1]
+    # the sentences of each word's tokens, word by word
+    by = np.argsort(word, kind="stable")
+    where, start_of = sentence[by], np.searchsorted(word[by], np.arange(n_words))
+    del by, table, sentence
+    use = often[feature] >= 3
+    place = np.cumsum(often >= 3) - 1
+    feature, of = place[feature[use]], of[use]
     known, often = known[often >= 3], often[often >= 3]
-    place = np.full(DIMS, -1)
-    place[known] = np.arange(len(known))
-    use = place[ids] >= 0
-    ids, sentence = place[ids[use]], sentence[use]
     x, back, b = np.zeros(len(known)), np.zeros(len(known)), -5.0
     toxic = max(1.0, y.sum())
     cost = np.where(y > 0, 1.0, min(1.0, 3 * toxic / max(1.0, (1 - y).sum())))
     chosen, left = epochs * 3 // 5, np.ones(len(known), bool)
     for t in range(epochs):
         ahead = x + t / (t + 3) * (x - back)
-        z = b + np.bincount(sentence, weights=ahead[ids], minlength=n)
+        weight = np.bincount(of, weights=ahead[feature], minlength=n_words)
+        z = b + np.add.reduceat(weight[word], start)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.clip(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)), -50, -1e-9))
         g = (np.where(y > 0, -none / (1 - none), 1.0) * cost)[doc] * p
+        slope = np.add.reduceat(g[where], start_of)
         step = rate / (often + 2.0)
         penalty = np.sqrt(often) * (least if t < chosen else 0.02 * least)
-        back, x = x, np.maximum(0, ahead - step * (np.bincount(ids, weights=g[sentence], minlength=len(known)) + penalty)) * (left if t > chosen else 1)
+        back, x = x, np.maximum(0, ahead - step * (np.bincount(feature, weights=slope[of], minlength=len(known)) + penalty)) * (left if t > chosen else 1)
         b -= min(0.3, max(-0.3, 0.3 * g.sum() / (1.0 + (cost[doc] * p * (1 - p)).sum())))
         b = min(-4.0, max(-11.0, b))
         if t == chosen:
             left = x > 0
-    w[known] = x
-    return w, float(b)
-
-
-def _sentences(text: str, of) -> list[tuple]:
-    out, own = [], []
-    for token in TOKEN.findall(text.lower()):
-        if token in ENDS:
-            if own:
-                out.append(tuple(own))
-                own = []
-        else:
-            own.extend(of[token])
-    if own:
-        out.append(tuple(own))
-    return out
+    return dict(zip(known[x > 0].tolist(), x[x > 0].tolist(), strict=True)), float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most=(MOST_TOXIC, MOST_CLEAN)):
-    """(weights, bias) from labels (doc_id, toxic) of docs, on the bounded sample; rows without a label or text are out.
+    """({feature: weight}, bias) from labels (doc_id, toxic) of docs, on the bounded sample; rows without a label or text are out.
 
     Labels are taken from rows whose crc32(doc_id as text) mod 4 is not 2. The sample's size is bounded by parameters,
     so it may be broadcast and fitted in one task.
@@ -120,23 +138,15 @@ def fit(docs: DataFrame, labels: DataFrame, most=(MOST_TOXIC, MOST_CLEAN)):
     sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def train(key, pdf):
-        import numpy as np
         import pandas as pd
 
-        of = _Known(_features)
+        index: dict[str, int] = {}
         pdf = pdf.sort_values("doc_id")
-        w, b = _train([(int(y), _sentences(t, of)) for y, t in zip(pdf["toxic"], pdf["text"], strict=True)])
-        at = np.flatnonzero(np.abs(w) > 1e-3)
-        return pd.DataFrame({"ids": [at.astype("<i4").tobytes()], "weights": [w[at].astype("<f4").tobytes()], "bias": [b]})
-
-    rows = sample.groupBy(F.lit(1).alias("one")).applyInPandas(train, "ids binary, weights binary, bias double").collect()
-    import numpy as np
+        w, b = _train([(int(y), *_indexed(t, index)) for y, t in zip(pdf["toxic"], pdf["text"], strict=True)], index)
+        return pd.DataFrame({"ids": [list(w)], "weights": [list(w.values())], "bias": [b]})
 
-    w = np.zeros(DIMS, np.float32)
-    if not rows:
-        return w, -8.0
-    w[np.frombuffer(rows[0]["ids"], "<i4")] = np.frombuffer(rows[0]["weights"], "<f4")
-    return w, rows[0]["bias"]
+    rows = sample.groupBy(F.lit(1).alias("one")).applyInPandas(train, "ids array<long>, weights array<double>, bias double").collect()
+    return (dict(zip(rows[0]["ids"], rows[0]["weights"], strict=True)), rows[0]["bias"]) if rows else ({}, -8.0)
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, worst_sentence int, worst_score double"
@@ -156,7 +166,7 @@ def score(docs: DataFrame, model, at: float = AT, keep: bool = False) -> DataFra
         import numpy as np
 
         w, b = shared.value
-        value = _Known(lambda t: float("nan") if t in ENDS else float(sum(w[f] for f in _features(t))))
+        value = _Known(lambda t: float("nan") if t in ENDS else float(sum(w.get(f, 0.0) for f in _features(t))))
         of = value.__getitem__
         for text in texts:
             tokens = TOKEN.findall((text.as_py() or "").lower())
@@ -192,5 +202,5 @@ def score(docs: DataFrame, model, at: float = AT, keep: bool = False) -> DataFra
             )
 
     if keep:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+        return docs.mapInArrow(lean(run), docs.schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), RESULT)

@@ -450,7 +450,7 @@ def test_toxicity(spark):
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in out if not r.predicted)
     swapped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     again = toxicity.fit(df, swapped)
-    assert again[1] == model[1] and (again[0] == model[0]).all()  # held-out labels teach nothing
+    assert again == model  # held-out labels teach nothing
     empty = toxicity.fit(df.where("false"), lab.where("false"))
     assert toxicity.score(df.where("false"), empty).count() == 0 and toxicity.score(df, empty).where("score > 0.3").count() == 0
 
