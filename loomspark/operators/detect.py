@@ -18,10 +18,59 @@ def numeric(df: DataFrame, metric: str) -> DataFrame:
     return df.where(F.col(metric).isNotNull()).withColumn(metric, F.col(metric).cast("double"))
 
 
+def chunked(df: DataFrame, order: Sequence[str], window: int, rows: int) -> DataFrame:
+    """df cut into runs of about rows rows in order (_chunk), each led by the window rows before it (_halo).
+
+    So frames of the last window rows of one long series are whole within a run, and runs are separate tasks. Bounds
+    are quantiles of the first order column, which must be a time or a number without nulls; rows that share its value
+    stay in one run. The driver sees a bound and a count for each run.
+    """
+    first = F.col(order[0])
+    key = F.unix_micros(first.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
+    n = df.count()
+    runs = max(1, n // max(1, rows))
+    shares = [i / runs for i in range(1, runs)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(10_000))).first()[0] or [])) if shares and n else []
+    chunk = F.lit(0)
+    for b in bounds:
+        chunk = chunk + (key > b).cast("int")
+    df = df.withColumn("_chunk", chunk.cast("int")).withColumn("_halo", F.lit(False))
+    if not bounds:
+        return df
+    counts = {r["_chunk"]: r["c"] for r in df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("c")).collect()}
+    # the runs that a run's last rows lead, and how many rows of others stand between
+    leads = []
+    for i in range(len(bounds) + 1):
+        between = 0
+        for j in range(i + 1, len(bounds) + 1):
+            if between >= window:
+                break
+            leads.append((i, j, between))
+            between += counts.get(j, 0)
+    back = Window.partitionBy("_chunk").orderBy(*(F.desc(c) for c in order))
+    tail = df.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= window)
+    led = df.sparkSession.createDataFrame(leads, "_chunk int, _to int, _between long")
+    halo = tail.join(F.broadcast(led), "_chunk").where(F.col("_back") + F.col("_between") <= window)
+    return df.unionByName(halo.withColumn("_chunk", F.col("_to")).withColumn("_halo", F.lit(True)).select(*df.columns))
+
+
 class _Detector:
     """score() adds columns to every numeric row; fired() keeps those that are anomalies."""
 
     name = ""
+    chunk_rows: int | None = None
+
+    def _windowed(self, df: DataFrame, order: Sequence[str], series_by: Sequence[str], size: int):
+        """Numeric rows, and the window of at most size rows before a row."""
+        df = numeric(df, self.metric)
+        by = list(series_by)
+        if self.chunk_rows and not by:
+            df, by = chunked(df, order, size, self.chunk_rows), ["_chunk"]
+        return df, Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(-size, -1)
+
+    @staticmethod
+    def _own(df: DataFrame) -> DataFrame:
+        return df.where(~F.col("_halo")).drop("_chunk", "_halo") if "_halo" in df.columns else df
 
     def score(self, df: DataFrame, order: Sequence[str], series_by: Sequence[str] = ()) -> DataFrame:
         raise NotImplementedError
@@ -48,19 +97,20 @@ class ZScore(_Detector):
 
     name = "z_score"
 
-    def __init__(self, metric_key: str = "metric", threshold: float = 3.0, window_size: int = 100, min_samples: int = 30):
+    def __init__(self, metric_key: str = "metric", threshold: float = 3.0, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None):
         if window_size <= 1:
             raise ValueError("window_size must be > 1")
         if threshold <= 0:
             raise ValueError("threshold must be > 0")
         if min_samples < 2:
             raise ValueError("min_samples must be >= 2")
-        self.metric, self.threshold, self.window, self.least = metric_key, threshold, window_size, min_samples
+        self.metric, self.threshold, self.window, self.least, self.chunk_rows = metric_key, threshold, window_size, min_samples, chunk_rows
 
     def score(self, df, order, series_by=()):
-        w = Window.partitionBy(*(series_by or [F.lit(0)])).orderBy(*order).rowsBetween(-self.window, -1)
+        rows, w = self._windowed(df, order, series_by, self.window)
         x = F.col(self.metric)
-        out = numeric(df, self.metric).withColumns({"_n": F.count(x).over(w), "_mean": F.avg(x).over(w), "_sigma": F.stddev_pop(x).over(w), "_same": F.min(x).over(w) == F.max(x).over(w)})
+        out = rows.withColumns({"_n": F.count(x).over(w), "_mean": F.avg(x).over(w), "_sigma": F.stddev_pop(x).over(w), "_same": F.min(x).over(w) == F.max(x).over(w)})
+        out = self._own(out)
         z = F.when((F.col("_n") >= self.least) & ~F.col("_same") & (F.col("_sigma") > 0), (x - F.col("_mean")) / F.col("_sigma"))
         out = out.withColumn("z_score", z).withColumn("window_size", F.least(F.col("_n") + 1, F.lit(self.window)).cast("long"))
         return out.withColumn("score", F.abs("z_score")).withColumn("fired", F.coalesce(F.col("score") > self.threshold, F.lit(False))).drop("_n", "_mean", "_sigma", "_same")
@@ -77,19 +127,19 @@ class Iqr(_Detector):
 
     name = "iqr"
 
-    def __init__(self, metric_key: str = "metric", k: float = 1.5, window_size: int = 100, min_samples: int = 30):
+    def __init__(self, metric_key: str = "metric", k: float = 1.5, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None):
         if window_size <= 1:
             raise ValueError("window_size must be > 1")
         if k <= 0:
             raise ValueError("k must be > 0")
         if min_samples < 4:
             raise ValueError("min_samples must be >= 4")
-        self.metric, self.k, self.window, self.least = metric_key, k, window_size, min_samples
+        self.metric, self.k, self.window, self.least, self.chunk_rows = metric_key, k, window_size, min_samples, chunk_rows
 
     def score(self, df, order, series_by=()):
-        w = Window.partitionBy(*(series_by or [F.lit(0)])).orderBy(*order).rowsBetween(-self.window, -1)
+        rows, w = self._windowed(df, order, series_by, self.window)
         x = F.col(self.metric)
-        out = numeric(df, self.metric).withColumns({"_n": F.count(x).over(w), "_q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(w)})
+        out = self._own(rows.withColumns({"_n": F.count(x).over(w), "_q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(w)}))
         q1, q3 = F.col("_q")[0], F.col("_q")[1]
         use = (F.col("_n") >= self.least) & (q3 > q1)
         out = out.withColumn("lower_fence", F.when(use, q1 - self.k * (q3 - q1))).withColumn("upper_fence", F.when(use, q3 + self.k * (q3 - q1)))

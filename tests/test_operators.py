@@ -199,6 +199,17 @@ def test_detectors_against_models(spark, seed, parts):
         assert {r["log_record_id"] for r in anomalies} == {f"r{i}" for i in want} and {r["detector_name"] for r in anomalies} == {detector.name}
 
 
+@pytest.mark.parametrize("rows", [7, 60, 150, 1000])
+def test_long_series_in_runs(spark, rows):
+    x = values(4)
+    df = series(spark, x, 3)
+    for detector, want in ((detect.ZScore(window_size=50, min_samples=20, chunk_rows=rows), z_model(x, 3.0, 50, 20)), (detect.Iqr(window_size=50, min_samples=20, chunk_rows=rows), iqr_model(x, 1.5, 50, 20))):
+        scored = detector.score(df, ["timestamp", "seq"])
+        assert scored.count() == sum(v is not None for v in x) and "_chunk" not in scored.columns
+        got = {r["seq"]: r["score"] for r in scored.where("fired").collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_series_by(spark):
     a, b = values(5), values(6)
     df = series(spark, a).withColumn("source", F.lit("a")).unionByName(series(spark, b).withColumn("source", F.lit("b")))
