@@ -154,3 +154,11 @@ def test_generators(spark):
     bgl = parse(generate.bgl_lines(spark, 300, 0.2), "bgl")
     assert bgl.where("parse_error is null").count() == 300 and bgl.where("alert and severity = 'CRITICAL' or not alert and bgl_label = '-'").count() == 300
     assert parse(generate.bench_lines(spark, 10)).where("parse_error is null").count() == 10
+
+
+def test_custom_source(spark):
+    from loomspark.sources import custom
+
+    custom.register(spark, "test_lines", ["a", "b"], lambda part: (f"{part}{i}" for i in range(3)))
+    out = custom.lines(spark, "test_lines").orderBy("file", "seq").collect()
+    assert [r["raw"] for r in out] == ["a0", "a1", "a2", "b0", "b1", "b2"] and len({r["id"] for r in out}) == 6
