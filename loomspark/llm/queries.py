@@ -99,4 +99,41 @@ def _license_sql() -> str:
     """
 
 
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": _license_sql()}
+#: All pairs of sets, and what links reach; only fit for small tables.
+_NGRAM_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS id, doc_id AS lo FROM documents UNION SELECT e.b, r.lo FROM r JOIN e ON e.a = r.id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.lo AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(lo) AS lo FROM r GROUP BY 1) c ON c.id = d.doc_id
+"""
+
+_VECTOR_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    r AS (SELECT vec_id AS id, vec_id AS lo FROM embeddings UNION SELECT l.b, r.lo FROM r JOIN l ON l.a = r.id)
+    SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.lo AS component_id, c.lo = d.vec_id AS kept
+    FROM embeddings d LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) n ON n.a = d.vec_id JOIN (SELECT id, min(lo) AS lo FROM r GROUP BY 1) c ON c.id = d.vec_id
+"""
+
+_SUBSTRING_SQL = """
+    WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+    x AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM b WHERE n >= 100)),
+    g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM x) WHERE k > 1),
+    j AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM g)),
+    s AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM j GROUP BY 1, 2),
+    t AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM s GROUP BY 1),
+    c AS (SELECT doc_id, hi AS a, coalesce(lead(lo) OVER (PARTITION BY doc_id ORDER BY hi), n) AS z FROM (SELECT doc_id, 0 AS lo, 0 AS hi FROM b UNION ALL SELECT doc_id, lo, hi FROM s) JOIN b USING (doc_id)),
+    q AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS kept FROM c JOIN b USING (doc_id) WHERE z > a GROUP BY 1)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM b LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": _NGRAM_SQL, "op4_embedding_near_dedup": _VECTOR_SQL, "op5_substring_dedup": _SUBSTRING_SQL, "op6_license_scan": _license_sql(),
+}
