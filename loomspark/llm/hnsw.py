@@ -251,7 +251,9 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard
             q = np.array(part["embedding"].tolist(), np.float64)
             for query, v, found in zip(part["query_id"].to_numpy(), q, g.search(q), strict=True):
                 found = found[found >= 0]
-                score = np.einsum("nd,d->n", x[found], v)
+                score = np.zeros(len(found))
+                for d in range(len(v)):  # in the order of components, as a plain sum has it
+                    score += x[found, d] * v[d]
                 vec = np.concatenate([ids[start[f] : start[f] + count[f]] for f in found])
                 score = np.repeat(score, count[found])
                 use = vec != query

@@ -134,6 +134,15 @@ _SUBSTRING_SQL = """
     FROM b LEFT JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
+#: The exact neighbours; on small tables the graphs find them all.
+_NEAREST_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": _NGRAM_SQL, "op4_embedding_near_dedup": _VECTOR_SQL, "op5_substring_dedup": _SUBSTRING_SQL, "op6_license_scan": _license_sql(),
+    "op10_nearest_neighbours": _NEAREST_SQL,
 }
