@@ -34,6 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: With it, the shuffle files of an execution go when it ends, here when the table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _PATHS: list[tuple[SparkSession, str]] = []
 
 
@@ -57,7 +60,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _PATHS.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
@@ -80,6 +88,24 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def lean(run):
+    """run, a function of batches, after which its worker gives memory back that it has no use for."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+                trim(0)
+
+    return trimmed
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -133,7 +159,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     minimum by node, combined before the shuffle, and a join that Spark may split where a node is hot; each round is
     a written table. The driver sees only counts.
     """
-    edge = written(edges.select("u", "v").where("u <> v").mapInPandas(_contract, "u long, v long").where("u <> v").distinct(), f"{name}-edges")
+    edge = written(edges.select("u", "v").where("u <> v").mapInPandas(lean(_contract), "u long, v long").where("u <> v").distinct(), f"{name}-edges")
     while True:
         both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

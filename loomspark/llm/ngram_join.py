@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded_batches, components, dropped, written
+from loomspark.llm._common import bounded_batches, components, dropped, lean, written
 
 #: Words in a shingle, and the similarity of a link as a percentage: 100 * |A and B| >= LINK * |A or B|.
 SHINGLE = 5
@@ -161,7 +161,7 @@ def _heavy(docs: DataFrame):
     spark = docs.sparkSession
 
     def heaviest(count):
-        counts = docs.mapInArrow(count, "token long, count long").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") > HEAVY)
+        counts = docs.mapInArrow(lean(count), "token long, count long").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") > HEAVY)
         counts = written(counts.withColumn("step", F.floor(F.log2("n"))), "ngram-heavy")
         steps = {r["step"]: r["c"] for r in counts.groupBy("step").agg(F.count(F.lit(1)).alias("c")).collect()}
         least = 0
@@ -245,8 +245,8 @@ def _matrix(spark: SparkSession, docs: DataFrame, group: DataFrame, few: bool, h
     def exploded(batches: Iterator) -> Iterator:
         return _rows((g, n, np.frombuffer(t, np.uint64)) for batch in batches for g, n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
-    parts = docs.mapInArrow(listed, "class long, n long, tokens binary").join(F.broadcast(group) if few else group, "class", "left")
-    return parts.select(F.coalesce("grp", "class").alias("grp"), "n", "tokens").mapInArrow(exploded, "token long, grp long, n int, pos int")
+    parts = docs.mapInArrow(lean(listed), "class long, n long, tokens binary").join(F.broadcast(group) if few else group, "class", "left")
+    return parts.select(F.coalesce("grp", "class").alias("grp"), "n", "tokens").mapInArrow(lean(exploded), "token long, grp long, n int, pos int")
 
 
 def _meeting(batches: Iterator) -> Iterator:
@@ -381,7 +381,7 @@ def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
     need = needed.select(F.col("class").alias("want"), F.col("rep").alias("doc_id")).distinct()
     got = docs.select("doc_id", "text").join(F.broadcast(need) if n <= SMALL else need, "doc_id").select("want", "text")
-    got = got.mapInArrow(run, "want long, tokens binary, class long").where("class = want")
+    got = got.mapInArrow(lean(run), "want long, tokens binary, class long").where("class = want")
     return got.dropDuplicates(["class"]).select("class", "tokens")
 
 
@@ -405,7 +405,7 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     bounded_batches(spark)
-    feats = written(docs.mapInArrow(_features, "doc_id long, n long, class long, bands array<long>"), "ngram-features")
+    feats = written(docs.mapInArrow(lean(_features), "doc_id long, n long, class long, bands array<long>"), "ngram-features")
     classes = written(feats.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")), "ngram-classes")
 
     # groups of similar classes: each class in its largest bucket, large buckets in parts that share their first member
@@ -424,7 +424,7 @@ def join(docs: DataFrame) -> DataFrame:
     heavy = _heavy(docs)
     few = group.count() <= SMALL
     matrix = _matrix(spark, docs, group, few, heavy).repartition("token").sortWithinPartitions("token", "grp", "n")
-    pairs = matrix.mapInArrow(_meeting, "a long, na long, b long, nb long, common long").groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
+    pairs = matrix.mapInArrow(lean(_meeting), "a long, na long, b long, nb long, common long").groupBy("a", "na", "b", "nb").agg(F.sum("common").alias("common"))
     need = F.ceil(F.expr(f"{LINK} * (na + nb) / {100 + LINK}"))
     least_common = F.least(1 + F.floor(F.lit(EXTRA) * F.least("na", "nb")), need + 1 - F.ceil(F.expr(f"{LINK} * greatest(na, nb) / 100")))
     pairs = written(pairs.where(F.col("common") >= least_common).drop("common"), "ngram-pairs")
@@ -447,7 +447,8 @@ def join(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             group = written(components(near.unionByName(more), "ngram-group").select(F.col("node").alias("class"), F.col("component").alias("grp")), "ngram-group")
     first = classes.join(group, "class").groupBy("grp").agg(F.min("rep").alias("component_id"))
-    component = classes.select("class", "rep").join(group, "class", "left").join(first, "grp", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    named = group.join(first, "grp").select("class", "component_id")
+    component = classes.select("class", "rep").join(named, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "class").withColumn("_own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")))
     out = out.join(component.withColumnRenamed("class", "_own"), "_own", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")

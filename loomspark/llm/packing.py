@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded_batches, ranked_within, written
+from loomspark.llm._common import bounded_batches, lean, ranked_within, written
 
 #: Most tokens of a sequence.
 SEQUENCE = 2048
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Da
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:
@@ -168,4 +168,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Data
                 offset[rows] = p[at, 5] + nth % p[at, 3] * n
             yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(lean(place), f"{PIECES}, sequence_id long, offset long")

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded_batches, written
+from loomspark.llm._common import bounded_batches, lean, written
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 100
@@ -318,13 +318,13 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     if not clear:  # the order of rows with equal doc_id must be the same each time that they are read
         base = written(base, "substring-rows")
     by = ["gram", "phrase", "doc", "rid", "at"]
-    rows = base.select("doc", "rid", "text").mapInArrow(_parse, ROWS)
-    found = written(rows.repartition("gram", "salt").sortWithinPartitions(*by).mapInArrow(_resolve(False), SPANS), "substring-spans")
+    rows = base.select("doc", "rid", "text").mapInArrow(lean(_parse), ROWS)
+    found = written(rows.repartition("gram", "salt").sortWithinPartitions(*by).mapInArrow(lean(_resolve(False)), SPANS), "substring-spans")
     spans = found.where(F.col("kind") == SPAN).select("doc", "rid", "lo", "hi")
     open_ = found.where(F.col("kind") == PHRASE).groupBy("doc", "rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     texts = base.select("doc", "rid", "text").join(open_.hint("shuffle_hash"), ["doc", "rid"]).select("doc", "rid", "text", "lo", "hi")
-    more = texts.mapInArrow(_open_windows, ROWS).repartition("gram", "salt").sortWithinPartitions(*by).mapInArrow(_resolve(True), SPANS)
+    more = texts.mapInArrow(lean(_open_windows), ROWS).repartition("gram", "salt").sortWithinPartitions(*by).mapInArrow(lean(_resolve(True)), SPANS)
     more = written(more.select("doc", "rid", "lo", "hi"), "substring-spans")
     spans = spans.unionByName(more).groupBy("doc", "rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     texts = base.join(spans.hint("shuffle_hash"), ["doc", "rid"], "left").select("doc_id", "text", "lo", "hi")
-    return texts.mapInArrow(_cut(keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.mapInArrow(lean(_cut(keep_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

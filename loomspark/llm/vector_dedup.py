@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import components, written
+from loomspark.llm._common import components, lean, written
 from loomspark.llm.hnsw import usable
 
 LINK = 0.9
@@ -165,7 +165,7 @@ def dedup(vectors: DataFrame, link: float = LINK) -> DataFrame:
                     visits = grid.traverse(x / np.linalg.norm(x, axis=1)[:, None])
                 yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "dims": dims, "cell": visits[:, 0], "visits": list(visits)})
 
-    where = written(nodes.mapInPandas(placed, "rep long, copies long, embedding array<double>, dims int, cell long, visits array<long>"), "vector-cells")
+    where = written(nodes.mapInPandas(lean(placed), "rep long, copies long, embedding array<double>, dims int, cell long, visits array<long>"), "vector-cells")
     sizes = where.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("members"))
     asks = where.select("dims", F.explode("visits").alias("cell")).groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("queries"))
     # pieces of a cell: at most as many cells as the grids have
