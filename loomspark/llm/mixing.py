@@ -70,7 +70,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     A document that is taken in part keeps the text up to the last word taken. Documents of which nothing is taken go,
     and so do those without a word.
     """
-    row = docs.select(F.struct(*docs.columns).alias("__loom_row"), "doc_id", "text", "source")
+    row = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("__loom_row"), "doc_id", "text", "source")
     out = mix(row, **options).where("taken > 0").withColumn("__loom_n", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = (F.col("taken") - (F.col("__loom_n") - 1) * F.col("size")).cast("int")
     space = r"[\x20\x09-\x0D]+"
