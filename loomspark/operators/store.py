@@ -96,15 +96,21 @@ class LogStore:
     def save_anomalies(self, anomalies: DataFrame) -> None:
         self.save("anomaly_events", anomalies)
 
+    def _written(self, table: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def read(self, table: str) -> DataFrame:
         if table not in TABLES:
             raise RepositoryError(f"unknown table: {table}")
         if not self.path:
             return self._memory[table] if table in self._memory else self.spark.createDataFrame([], TABLES[table])
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+        if not self._written(table):
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(f"{TABLES[table]}, date date").parquet(f"{self.path}/{table}").drop("date")
+        return self._table(table).drop("date")
+
+    def _table(self, table: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[table]}, date date").parquet(f"{self.path}/{table}")
 
     def all_records(self) -> DataFrame:
         return self.read("log_records")
@@ -116,7 +122,16 @@ class LogStore:
         return self.read("anomaly_events")
 
     def query(self, filters: QueryFilters = QueryFilters()) -> DataFrame:
-        return query_logs(self.all_records(), filters)
+        """The first records that meet the filters; bounds on time also choose the days whose files are read."""
+        df = self.all_records()
+        if self.path and self._written("log_records"):
+            df = self._table("log_records")
+            if filters.after is not None:
+                df = df.where(F.col("date") >= F.to_date(F.lit(filters.after).cast("timestamp")))
+            if filters.before is not None:
+                df = df.where(F.col("date") <= F.to_date(F.lit(filters.before).cast("timestamp")))
+            df = df.drop("date")
+        return query_logs(df, filters)
 
     def aggregate(self, group_by: str = "severity", metric: str = "count") -> DataFrame:
         return aggregate_logs(self.all_records(), group_by, metric)

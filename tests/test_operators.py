@@ -318,6 +318,15 @@ def test_store(spark, tmp_path, kind):
     assert s.all_records().count() == 0
 
 
+def test_filters_reach_the_scan(spark, tmp_path):
+    s = store.LogStore(spark, str(tmp_path / "t"))
+    s.save_batch(records(spark))
+    df = s.query(store.QueryFilters(severity="ERROR", after="2024-01-01 00:00:01", before="2024-01-03", limit=5)).select("id", "message")
+    assert [r["id"] for r in df.collect()] == ["2"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(severity,ERROR)" in plan and "PartitionFilters: [isnotnull(date" in plan and "TakeOrderedAndProject" in plan and "enrichment" not in plan
+
+
 def test_events_and_wrappers(spark):
     bus, got = events.EventBus(), events.CollectingListener()
 
