@@ -257,7 +257,7 @@ def _open_windows(batches: Iterator) -> Iterator:
             lo, n = np.array(lo, np.int64), np.array(hi, np.int64) - np.array(lo, np.int64) + 1
             w = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             h = parser.windows(text)[w].view(np.int64)
-            held.append((h, h, np.full(len(w), doc), np.full(len(w), rid), w, w))
+            held.append((h, np.zeros(len(w), np.int64), np.full(len(w), doc), np.full(len(w), rid), w, w))
             count += len(w)
             if count > 2 * HELD:
                 yield from _firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
