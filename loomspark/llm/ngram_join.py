@@ -399,9 +399,14 @@ def join(docs: DataFrame) -> DataFrame:
     to equal 64-bit hashes of different shingles or sets).
 
     Null or empty text, or text without words: no shingles, a component of its own. A null doc_id links with nothing
-    and has a null component. Rows with equal doc_id are one document with several texts. No rows give no rows; other
-    columns aren't read.
+    and has a null component. Rows with equal doc_id are linked by their texts alone, each has its text's component. No
+    rows give no rows; other columns aren't read.
     """
+    return _joined(docs).drop("component")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """The rows of join() with component: a class that stands for the component, null without doc_id or shingles."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     bounded_batches(spark)
@@ -447,23 +452,47 @@ def join(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             group = written(components(near.unionByName(more), "ngram-group").select(F.col("node").alias("class"), F.col("component").alias("grp")), "ngram-group")
     first = classes.join(group, "class").groupBy("grp").agg(F.min("rep").alias("component_id"))
-    named = group.join(first, "grp").select("class", "component_id")
-    component = classes.select("class", "rep").join(named, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    named = group.join(first, "grp").select("class", "component_id", "grp")
+    component = classes.select("class", "rep").join(named, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("grp", "class").alias("component"))
     out = feats.select("doc_id", "n", "class").withColumn("_own", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")))
     out = out.join(component.withColumnRenamed("class", "_own"), "_own", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "class", "component")
+
+
+def _classed(batches: Iterator) -> Iterator:
+    """Batches with the class of the last column, a text, in its place."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sets = shingles(batch.column(batch.num_columns - 1).to_pylist())
+        own = pa.array([identity(t) if len(t) else 0 for t in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], own], [*batch.schema.names[:-1], "__loom_class"])
 
 
 def unique(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of join(): that of the smallest doc_id, as it is; rows without doc_id stay.
 
-    Of rows that share the doc_id the one with the least text stays. What goes is the smaller part, so it is what is
-    joined, broadcast while it is small.
+    Components are those of the rows' own texts: rows that share a doc_id stay or go each with its text. Of rows of one
+    component and doc_id the one with the least text stays, then that of the least hash; texts without words are one
+    component for each doc_id. What goes is the smaller part, so it is what is joined, broadcast while it is small.
     """
-    found = written(join(docs).select("doc_id", "component_id"), "ngram-components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        out = out.withColumn("__loom_first", first).where("__loom_first = 1 or doc_id is null").drop("__loom_first")
-    return out.select(*docs.columns)
+    found = written(_joined(docs).select("doc_id", "component_id", "class", "component"), "ngram-components")
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = written(several, "ngram-several")
+    n_several = several.count()
+    gone = found.where("doc_id <> component_id").select("doc_id")
+    gone = (gone.unionByName(several) if n_several else gone).distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
+    if n_several:
+        # rows that share a doc_id: the class tells which of them the component's row is
+        few = n_several <= SMALL
+        rows = docs.join(F.broadcast(several) if few else several, "doc_id", "left_semi").select(*docs.columns)
+        kinds = rows.schema.add("__loom_class", "long")
+        rows = rows.withColumn("__loom_class", F.col("text").cast("string").cast("binary")).mapInArrow(lean(_classed), kinds)
+        stay = found.join(F.broadcast(several) if few else several, "doc_id", "left_semi").where("doc_id = component_id")
+        stay = stay.select("doc_id", F.col("class").alias("__loom_class"), F.col("component").alias("__loom_component")).distinct()
+        hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+        first = F.row_number().over(Window.partitionBy("doc_id", "__loom_component").orderBy(F.col("text").asc_nulls_last(), hashed))
+        rows = rows.join(stay, ["doc_id", "__loom_class"]).withColumn("__loom_first", first).where("__loom_first = 1")
+        out = out.unionByName(rows.select(*docs.columns))
+    return out

@@ -231,6 +231,22 @@ def test_ngram_join_in_families(spark, seed, monkeypatch):
     assert got == component and 3 < len(set(got.values())) < 150
 
 
+def test_unique_rows_that_share_a_doc_id(spark):
+    """Different, linked, equal and null texts under one doc_id: each text's component keeps one row."""
+    text = lambda c, *new: " ".join([*(f"{c}{i}" for i in range(60)), *new])
+    rows = [
+        (3, text("x")), (5, text("x", "more")), (5, text("y")), (7, text("y", "more")),  # y's group keeps the row of doc 5
+        (8, None), (8, text("z")), (8, None), (8, ""),
+        (9, text("w")), (9, text("w", "more")), (9, text("w")),
+        (10, text("a")), (10, text("b")), (11, text("b", "more")), (11, text("c")), (12, text("c", "more")),
+        (None, text("x")), (None, text("x")),
+    ]
+    left = ngram_join.unique(frame(spark, [(i, t, "en", "s", 0) for i, t in rows]))
+    got = Counter((r.doc_id, r.text or None) for r in left.collect())
+    want = [(3, text("x")), (5, text("y")), (8, None), (8, text("z")), (9, text("w")), (10, text("a")), (10, text("b")), (11, text("c")), (None, text("x")), (None, text("x"))]
+    assert got == Counter(want)
+
+
 # 4 and 10
 
 
