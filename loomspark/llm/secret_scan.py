@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 
 from loomspark.llm._common import bound
 
+#: The first line of a PEM key, what may stand between its lines (broken, quoted or escaped ones too), and its headers.
+PEM_BEGIN, PEM_END = (rf"-----{word} (?:[A-Z]+ ){{0,3}}PRIVATE KEY-----" for word in ("BEGIN", "END"))
+_GAP = r"(?:\\+[nrt]|\+(?=\s)|[^A-Za-z0-9+/=-]){1,24}+"
+_HEADERS = r"(?:(?:\\+[nr]|[\s>#*|]){1,8}+[A-Z][A-Za-z0-9-]{1,40}: ?[^\r\n\\]{0,200}){0,8}+"
+#: The rest of a PEM key: all up to its END line, or without one the lines of base64, of which the last may be short.
+PEM_REST = (
+    rf"(?:{_HEADERS}(?:[A-Za-z0-9+/=\s\\\"'<>&#*,;|$]*+{PEM_END}"
+    rf"|(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:(?:{_GAP}[A-Za-z0-9+/]{{1,15}}+={{0,2}}+)?+(?:{_GAP})?+{PEM_END}|(?:\r?\n|\\+n|[ \t](?=\S+\s*\z))[ \t>#*|\"']*+[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=[ \t]*+(?:[\"'\\]|\r?\n|\z)))?+"
+    r"|(?:\r?\n|\\+n)[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?=\s*\z)))?+"
+)
+
 #: Candidate patterns: (kind, Java pattern). The first that fits at a place counts.
 PATTERNS = (
-    ("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    ("private_key", PEM_BEGIN + PEM_REST),
     ("aws_key", r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("github_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"),
     ("slack_token", r"(?<![A-Za-z0-9])xox[abprs]-[0-9A-Za-z-]{10,}"),
     ("stripe_key", r"(?<![A-Za-z0-9])[sr]k_live_[0-9A-Za-z]{16,}"),
     ("google_key", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}"),
     ("jwt", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("assignment", r"(?i:passwd|password|pwd|secret|token|api_?-?key|access_?-?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?[^\s\"'<>,;]{6,}"),
+    ("assignment", r"(?i:passwd|password|pwd|secret|token|api_?-?key|access_?-?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?!-----BEGIN )[^\s\"'<>,;]{6,}"),
     ("hex", r"(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])"),
     ("base64", r"(?<![A-Za-z0-9+/])(?=[A-Za-z/+]{0,39}[0-9])[A-Za-z0-9+/]{40,}={0,2}"),
 )
@@ -145,6 +156,7 @@ def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
 
     The whole text is scanned, in place: nothing is shuffled. Null and empty texts have no findings. Repeated rows are
     scanned each; no rows give no rows; other columns pass through, and a column of docs named findings is replaced.
+    A PEM key is one finding, from its BEGIN line to its END line or, without one, to the end of its base64 lines.
     """
     docs = docs.drop("findings")
     matches = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("|".join(p for _, p in PATTERNS)), F.lit(0))
@@ -165,15 +177,17 @@ def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
         head = F.regexp_extract(x["match"], r"^(?i:passwd|password|pwd|secret|token|api_?-?key|access_?-?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?", 0)
         start = x["start"] + F.length(head)
         value = F.substring(x["match"], F.length(head) + 1, F.length(x["match"]))
+        # a PEM key is judged as the first line that the forest has learnt: neither its kind nor its body tells anything
+        shown = F.when(value.startswith("-----BEGIN "), F.lit("-----BEGIN RSA PRIVATE KEY-----")).otherwise(value)
         begin = F.greatest(start - NEAR, F.lit(1))
         return F.struct(
-            start.cast("int").alias("start"), _kind(x["match"]).alias("kind"), value.alias("value"),
+            start.cast("int").alias("start"), _kind(x["match"]).alias("kind"), value.alias("value"), shown.alias("shown"),
             F.substring(F.col("text"), begin, start - begin).alias("before"),
             F.substring(F.col("text"), start + F.length(value), F.lit(NEAR)).alias("after"),
         )
 
     def scored(x: Column) -> Column:
-        own = features(x["value"], x["before"], x["after"], x["kind"])
+        own = features(x["shown"], x["before"], x["after"], x["kind"])
         score = bound(F.array(*(own[k].cast("double") for k in FEATURES)), forest.score)
         return bound(score, lambda p: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), p.alias("score"), (p >= at).alias("secret")))
 
