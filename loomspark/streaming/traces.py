@@ -92,10 +92,12 @@ def stream_traces(parsed: DataFrame, order: Sequence[str] = ("timestamp", "id"),
     State is keyed by block and kept in the state store, so it spills and survives restarts. Rows within a micro-batch
     are put in order; later than the watermark none is dropped here, it reopens its block. Traces that are still open
     when a stream ends are found by finalize().
+
+    The watermark drives timers alone: the time that reaches the processor isn't the column that Spark filters by.
     """
     rows = with_block(parsed).withWatermark("timestamp", "0 seconds").withColumn("micros", F.unix_micros("timestamp"))
     extra = [c for c in order if c not in ("timestamp", "id", "block_id", "event_id")]
-    rows = rows.select("block_id", "event_id", "id", "timestamp", "micros", *extra)
+    rows = rows.select("block_id", "event_id", "id", F.timestamp_micros("micros").alias("timestamp"), "micros", *extra)
     return rows.groupBy("block_id").transformWithStateInPandas(TraceProcessor(order, idle_window_s, max_records_per_trace, terminal), TRACE, "Append", "EventTime")
 
 

@@ -111,6 +111,31 @@ def test_streaming_traces(spark, tmp_path):
     assert by[("blk_1", 0)] == ("timeout", ["E1", "E2"]) and by[("blk_2", 0)] == ("timeout", ["E1"]) and ("blk_5", 0) not in by
 
 
+def test_streaming_late_rows(spark, tmp_path):
+    """Rows behind the watermark reopen a closed block, go to an open one, or open one of their own."""
+    import os
+    import time
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = lambda second, block, event: f"081109 2000{second:02d} 1 INFO a: {event} blk_{block}"
+    batches = [
+        [line(0, 1, "E1"), line(1, 1, "E9"), line(45, 2, "E1"), line(2, 5, "E1")], [line(50, 3, "E1")], [line(2, 1, "E2"), line(40, 2, "E2"), line(3, 4, "E3"), line(4, 5, "E2")],
+        [line(51, 3, "E2"), line(5, 1, "E4")], [line(59, 6, "E1")],
+    ]
+    for i, b in enumerate(batches):
+        (folder / f"{i}.log").write_text("\n".join(b) + "\n")
+        os.utime(folder / f"{i}.log", (time.time() - 100 + i,) * 2)
+    got = _stream(spark, str(folder), str(tmp_path / "ck"), idle_window_s=10.0)
+    events = {}
+    for r in sorted(got, key=lambda r: (r["block_id"], r["chunk"])):
+        events.setdefault(r["block_id"], []).append((r["closed_reason"], r["event_sequence"]))
+    assert events["blk_1"] == [("terminal", ["E1", "E9"]), ("timeout", ["E2"]), ("timeout", ["E4"])]
+    assert events["blk_2"] == [("timeout", ["E1", "E2"])] and events["blk_4"] == [("timeout", ["E3"])]
+    assert events["blk_5"] == [("timeout", ["E1"]), ("timeout", ["E2"])] and set(events) == {"blk_1", "blk_2", "blk_4", "blk_5"}
+    assert len({(r["block_id"], r["chunk"]) for r in got}) == len(got)
+
+
 def test_streaming_windows(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
