@@ -56,11 +56,15 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
     blocks that pass are counted exactly. blocks lists (line, label, containment) of the blocks found. score: 1 where
     a phrase stands, else the greatest containment that meets the threshold, else 0.
 
+    Notices may be wrapped: notices lists (label, containment) of the templates that a window of as many words as the
+    template has, across line ends, holds at the threshold, with the greatest containment. labels and score are those
+    of lines.
+
     Templates are few, so each row is matched where it is and nothing is shuffled. Null text counts as empty: no
     words, no places, labels "", score 0. Repeated rows are scanned each; no rows give no rows; other columns pass
     through, and columns of docs with the names of the results are replaced.
     """
-    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks")
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "notices")
     docs = docs.drop(*names)
     sets = [(label, tuple(dict.fromkeys(text.split()))) for label, text in templates]
     tokens = sorted({w for _, words in sets for w in words})
@@ -106,6 +110,19 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
     lines = F.filter(F.transform(F.split(_lower(F.col("__loom_text")), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: x["text"].rlike(rare))
     blocks = F.flatten(F.transform(lines, lambda x: bound(F.array_distinct(F.regexp_extract_all(x["text"], F.lit(WORD), F.lit(0))), lambda w: match(x["line"], w))))
     out = out.withColumn("blocks", F.when(F.col("__loom_words").isNotNull(), blocks).otherwise(F.array().cast("array<struct<line:bigint,label:string,containment:double>>")))
+
+    def wrapped(words: Column) -> Column:
+        def held(label: str, own: tuple, length: int, need: int, prefix: list) -> Column:
+            template = F.array(*map(F.lit, own))
+            passes = F.arrays_overlap(words, F.array(*map(F.lit, prefix))) & (F.size(F.array_intersect(words, template)) >= need)
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - length + 1, F.lit(1)))
+            most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, length), template))))
+            return F.when(passes, bound(most, lambda m: F.when(m >= need, F.struct(F.lit(label).alias("label"), (m / float(len(own))).alias("containment")))))
+
+        all_ = [held(label, own, len(whole.split()), need, prefix) for (label, own), (_, whole), need, prefix in zip(sets, templates, needs, prefixes, strict=True)]
+        return F.filter(F.array(*all_), lambda x: x.isNotNull())
+
+    out = out.withColumn("notices", F.when(F.col("__loom_words").isNotNull(), wrapped(F.col("__loom_words"))).otherwise(F.array().cast("array<struct<label:string,containment:double>>")))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     base = F.transform("__loom_places", lambda x: x["label"])
     starts_ = F.transform("__loom_places", lambda x: x["start"])

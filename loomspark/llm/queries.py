@@ -36,7 +36,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks")
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "blocks", "notices")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

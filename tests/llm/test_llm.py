@@ -399,6 +399,24 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    notice = {label: text for label, text in license_scan.TEMPLATES if label in ("bsd", "mpl")} | {"mit": license_scan.TEMPLATES[1][1]}
+    broken = lambda text, k, sign="\n": sign.join(" ".join(text.split()[i : i + k]) for i in range(0, len(text.split()), k))
+    texts = [None, "", "All\nrights\nreserved", *(f"words before\n{broken(t, k, sign)}\nand after" for t in notice.values() for k, sign in ((9, "\n"), (4, "\n * "), (12, "\r\n# ")))]
+    texts += [broken(" ".join(t.split()[: round(len(t.split()) * part)]), 6) for t in notice.values() for part in (0.5, 0.75, 0.85)] + [" x ".join(notice["mit"].split())]
+    out = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        words, want = re.findall(r"[0-9a-z]+", (t or "").lower()), Counter()
+        for label, text in license_scan.TEMPLATES:
+            own, length = set(text.split()), len(text.split())
+            share = max(len(own & set(words[k : k + length])) for k in range(max(1, len(words) - length + 1))) / len(own)
+            if share >= 0.8:
+                want[(label, share)] += 1
+        assert Counter((x.label, x.containment) for x in out[i].notices) == want, t
+    assert [[x.label for x in out[i].notices] for i in range(2, 12)] == [["proprietary"], *([label] for label in notice for _ in range(3))]
+    assert out[len(texts) - 1].notices == []
+
+
 # 7
 
 
