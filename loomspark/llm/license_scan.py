@@ -51,9 +51,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, containment: flo
 
     Base: all places of the phrases in the words of the whole text. The join: blocks are lines; the tokens of the
     templates are ordered by how often they stand in the corpus, rarest first. A block that holds a template at the
-    threshold has one of the template's prefix tokens (prefix filter), as many distinct words as the overlap needs
-    (length filter), and its first common token early enough in the order for the rest to suffice (positional filter);
-    blocks that pass are counted exactly. blocks lists (line, label, containment) of the blocks found. score: 1 where
+    threshold has one of the template's prefix tokens (prefix filter) and as many distinct words as the overlap needs
+    (length filter); there is no positional filter. Blocks that pass are counted exactly. blocks lists (line, label, containment) of the blocks found. score: 1 where
     a phrase stands, else the greatest containment that meets the threshold, else 0.
 
     Notices may be wrapped: notices lists (label, containment) of the templates that a window of as many words as the
