@@ -151,58 +151,60 @@ def _kind(match: Column) -> Column:
     return out
 
 
-def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
-    """docs with findings: an array of (start, kind, value, score, secret), start in characters from 1.
+def _placed(docs: DataFrame, forest: Forest, at: float) -> DataFrame:
+    """docs with __loom_found: findings with the text before each (gap, head), and __loom_rest: the text after the last.
 
-    The whole text is scanned, in place: nothing is shuffled. Null and empty texts have no findings. Repeated rows are
-    scanned each; no rows give no rows; other columns pass through, and a column of docs named findings is replaced.
-    A PEM key is one finding, from its BEGIN line to its END line or, without one, to the end of its base64 lines.
+    Matches and the gaps between them are cut out by the same pattern, so lengths tell where each match stands.
     """
-    docs = docs.drop("findings")
-    matches = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("|".join(p for _, p in PATTERNS)), F.lit(0))
-    out = docs.withColumn("__loom_matches", matches)
-    none = F.array().cast("array<struct<start:int,match:string>>")
-    # where the matches stand: each is looked for from the end of the one before
-    placed = F.aggregate(
-        "__loom_matches",
-        F.struct(F.lit(1).alias("at"), none.alias("found")),
-        lambda acc, m: F.transform(
-            F.array(F.call_function("locate", m, F.col("text"), acc["at"])),
-            lambda p: F.struct((p + F.length(m)).cast("int").alias("at"), F.concat(acc["found"], F.array(F.struct(p.cast("int").alias("start"), m.alias("match")))).alias("found")),
-        )[0],
-        lambda acc: acc["found"],
-    )
-
-    def judge(x: Column) -> Column:
-        head = F.regexp_extract(x["match"], r"^(?i:passwd|password|pwd|secret|token|api_?-?key|access_?-?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?", 0)
-        start = x["start"] + F.length(head)
-        value = F.substring(x["match"], F.length(head) + 1, F.length(x["match"]))
+    pattern = F.lit("|".join(p for _, p in PATTERNS))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.withColumn("__loom_matches", F.regexp_extract_all(text, pattern, F.lit(0)))
+    out = out.withColumn("__loom_gaps", F.when(F.size("__loom_matches") > 0, F.split(text, pattern.cast("string"), -1)))
+    match, gap = (lambda i, c=c: F.coalesce(F.get(c, i), F.lit("")) for c in ("__loom_matches", "__loom_gaps"))
+    ends = F.aggregate(
+        F.zip_with("__loom_gaps", "__loom_matches", lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0))), F.array(F.lit(0)),
+        lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+    )
+
+    def judge(m: Column, i: Column, ends: Column) -> Column:
+        head = F.regexp_extract(m, r"^(?i:passwd|password|pwd|secret|token|api_?-?key|access_?-?key|auth)[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?", 0)
+        value = F.substring(m, F.length(head) + 1, F.length(m))
         # a PEM key is judged as the first line that the forest has learnt: neither its kind nor its body tells anything
         shown = F.when(value.startswith("-----BEGIN "), F.lit("-----BEGIN RSA PRIVATE KEY-----")).otherwise(value)
-        begin = F.greatest(start - NEAR, F.lit(1))
+        # four matches are longer than NEAR, so neighbours need no look at the whole text
+        before = F.concat(*(x for k in range(4, 0, -1) for x in (F.right(match(i - k), F.lit(NEAR)), F.right(gap(i - k + 1), F.lit(NEAR)))), head)
+        after = F.concat(*(x for k in range(1, 5) for x in (F.left(gap(i + k), F.lit(NEAR)), F.left(match(i + k), F.lit(NEAR)))))
         return F.struct(
-            start.cast("int").alias("start"), _kind(x["match"]).alias("kind"), value.alias("value"), shown.alias("shown"),
-            F.substring(F.col("text"), begin, start - begin).alias("before"),
-            F.substring(F.col("text"), start + F.length(value), F.lit(NEAR)).alias("after"),
+            (F.get(ends, i) + F.length(gap(i)) + F.length(head) + 1).cast("int").alias("start"), _kind(m).alias("kind"), value.alias("value"), shown.alias("shown"),
+            F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"), gap(i).alias("gap"), head.alias("head"),
         )
 
     def scored(x: Column) -> Column:
         own = features(x["shown"], x["before"], x["after"], x["kind"])
         score = bound(F.array(*(own[k].cast("double") for k in FEATURES)), forest.score)
-        return bound(score, lambda p: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["value"].alias("value"), p.alias("score"), (p >= at).alias("secret")))
+        return bound(score, lambda p: F.struct(*(x[c].alias(c) for c in ("start", "kind", "value", "gap", "head")), p.alias("score"), (p >= at).alias("secret")))
+
+    found = F.when(F.size("__loom_matches") > 0, F.transform(bound(ends, lambda e: F.transform("__loom_matches", lambda m, i: judge(m, i, e))), scored))
+    return out.withColumn("__loom_found", found).withColumn("__loom_rest", F.element_at("__loom_gaps", -1)).drop("__loom_matches", "__loom_gaps")
+
 
+def scan(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
+    """docs with findings: an array of (start, kind, value, score, secret), start in characters from 1.
+
+    The whole text is scanned, in place: nothing is shuffled. Null and empty texts have no findings. Repeated rows are
+    scanned each; no rows give no rows; other columns pass through, and a column of docs named findings is replaced.
+    A PEM key is one finding, from its BEGIN line to its END line or, without one, to the end of its base64 lines.
+    start is where the pattern matched, whatever equal text stands elsewhere.
+    """
     kind = "array<struct<start:int,kind:string,value:string,score:double,secret:boolean>>"
-    found = F.when(F.size("__loom_matches") > 0, F.transform(F.transform(placed, judge), scored)).otherwise(F.array().cast(kind))
-    return out.withColumn("findings", found.cast(kind)).drop("__loom_matches")
+    found = F.transform("__loom_found", lambda x: F.struct(*(x[c].alias(c) for c in ("start", "kind", "value", "score", "secret"))))
+    out = _placed(docs.drop("findings"), forest, at).withColumn("findings", F.coalesce(found.cast(kind), F.array().cast(kind)))
+    return out.drop("__loom_found", "__loom_rest")
 
 
 def redacted(docs: DataFrame, forest: Forest, at: float = AT) -> DataFrame:
-    """docs with the secrets in text masked; all rows and all other columns stay as they are."""
-    out = scan(docs.select(F.struct(*docs.columns).alias("__loom_row"), "text"), forest, at)
-    secrets = F.reverse(F.filter("findings", lambda x: x["secret"]))
-    masked = F.aggregate(
-        secrets, F.col("text"),
-        lambda t, x: F.concat(F.substring(t, F.lit(1), x["start"] - 1), F.lit(MASK), F.substring(t, x["start"] + F.length(x["value"]), F.length(t))),
-    )
-    text = F.when(F.exists("findings", lambda x: x["secret"]), masked).otherwise(F.col("text"))
+    """docs with the secrets in text masked at their places; all rows and all other columns stay as they are."""
+    out = _placed(docs.select(F.struct(*docs.columns).alias("__loom_row"), "text"), forest, at)
+    parts = F.transform("__loom_found", lambda x: F.concat(x["gap"], x["head"], F.when(x["secret"], F.lit(MASK)).otherwise(x["value"])))
+    text = F.when(F.exists("__loom_found", lambda x: x["secret"]), F.concat(F.array_join(parts, ""), F.col("__loom_rest"))).otherwise(F.col("text"))
     return out.select(*(text.alias(c) if c == "text" else F.col("__loom_row")[c].alias(c) for c in docs.columns))
