@@ -19,6 +19,8 @@ ENDS = frozenset(".!?\n")
 #: The sample that a model is fitted on: at most so many labelled rows of each class, those with the smallest hashes.
 MOST_TOXIC, MOST_CLEAN = 2000, 5000
 AT = 0.3
+#: In training, how toxic a document is without any evidence in its sentences: just what still counts as clean or not.
+LEAK = AT
 
 
 def _features(word: str) -> tuple[int, ...]:
@@ -43,29 +45,35 @@ class _Known(dict):
 
 
 def _indexed(text: str, index: dict[str, int]):
-    """(numbers of the words in index, numbers of words in each sentence) of a text; new words get the next number."""
+    """(numbers of the words in index, numbers of words in each sentence) of a text; new words get the next number.
+
+    A sentence that is there again counts once.
+    """
     import numpy as np
 
-    words, lengths, n = [], [], 0
-    for token in TOKEN.findall(text.lower()):
-        if token in ENDS:
-            if n:
-                lengths.append(n)
-                n = 0
-        else:
-            words.append(index.setdefault(token, len(index)))
-            n += 1
-    return np.array(words, np.int32), np.array([*lengths, n] if n else lengths, np.int32)
+    words, lengths, own, seen = [], [], [], set()
+    for token in [*TOKEN.findall(text.lower()), "."]:
+        if token not in ENDS:
+            own.append(index.setdefault(token, len(index)))
+        elif own:
+            if (key := tuple(own)) not in seen:
+                seen.add(key)
+                words += own
+                lengths.append(len(own))
+            own = []
+    return np.array(words, np.int32), np.array(lengths, np.int32)
 
 
-def _train(sample: list[tuple], index: dict[str, int], epochs: int = 200, rate: float = 1.5, least: float = 1.2):
+def _train(sample: list[tuple], index: dict[str, int], epochs: int = 200, rate: float = 1.5, least: float = 1.2, leak: float = LEAK):
     """({feature: weight}, bias): noisy-or log likelihood with an L1 penalty, of (label, words, lengths of sentences).
 
     Proximal gradient steps with momentum, scaled by how many documents a feature is in. The penalty is worth the
     gradient of least times the square root of a feature's documents, so chance gets no weight; features of fewer than
     three documents are left out. The last steps fit what is left almost without the penalty, which had drawn it to 0.
-    Weights are not negative: a sentence without evidence has the bias alone. A word's weight is the sum of its
-    features', so that tokens are gone through once a step.
+    Weights are not negative, and of a sentence's sigmoid the share that it has without evidence is taken off: so only
+    evidence counts, and the number of sentences without it doesn't. What words can't explain is left to a leak that
+    a document has, not a sentence. A word's weight is the sum of its features', so that tokens are gone through once
+    a step.
     """
     import numpy as np
 
@@ -108,13 +116,16 @@ def _train(sample: list[tuple], index: dict[str, int], epochs: int = 200, rate:
         weight = np.bincount(of, weights=ahead[feature], minlength=n_words)
         z = b + np.add.reduceat(weight[word], start)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.clip(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)), -50, -1e-9))
-        g = (np.where(y > 0, -none / (1 - none), 1.0) * cost)[doc] * p
+        bare = 1 / (1 + math.exp(-b))
+        clear = np.log1p(-np.minimum(p, 1 - 1e-9)) - math.log1p(-bare)
+        none = (1 - leak) * np.exp(np.clip(np.bincount(doc, weights=clear, minlength=len(y)), -50, 0))
+        g = (np.where(y > 0, -none / (1 - none), 1.0) * cost)[doc]
+        drift, g = (g * (p - bare)).sum(), g * p
         slope = np.add.reduceat(g[where], start_of)
         step = rate / (often + 2.0)
         penalty = np.sqrt(often) * (least if t < chosen else 0.02 * least)
         back, x = x, np.maximum(0, ahead - step * (np.bincount(feature, weights=slope[of], minlength=len(known)) + penalty)) * (left if t > chosen else 1)
-        b -= min(0.3, max(-0.3, 0.3 * g.sum() / (1.0 + (cost[doc] * p * (1 - p)).sum())))
+        b -= min(0.3, max(-0.3, 0.3 * drift / (1.0 + (cost[doc] * p * (1 - p)).sum())))
         b = min(-4.0, max(-11.0, b))
         if t == chosen:
             left = x > 0
@@ -155,8 +166,10 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, n_sentence
 def score(docs: DataFrame, model, at: float = AT, keep: bool = False) -> DataFrame:
     """A row for each row of docs: doc_id, held_out, score, predicted, n_sentences, worst_sentence (from 0), worst_score.
 
-    score = 1 - product of (1 - p) over the sentences of the whole text; null and empty texts have no sentence and
-    score 0. A null doc_id is scored, and is not held out. Repeated rows are scored each; no rows give no rows; other
+    score = 1 - product of (1 - p) over the different sentences of the whole text that hold evidence, where p is the
+    sentence's sigmoid without the share that it has of the bias alone: so a sentence without evidence adds nothing,
+    and a text isn't more toxic for its length or for repeating itself. Null and empty texts have no sentence and score
+    0. A null doc_id is scored, and is not held out. Repeated rows are scored each; no rows give no rows; other
     columns are read only with keep, which gives the rows of docs that are not predicted toxic, as they are.
     """
     bounded_batches(docs.sparkSession)
@@ -179,9 +192,15 @@ def score(docs: DataFrame, model, at: float = AT, keep: bool = False) -> DataFra
                 continue
             sentence = np.cumsum(end)[word]
             first = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
-            p = 1 / (1 + np.exp(-np.clip(b + np.add.reduceat(v[word], first), -30, 30)))
-            worst = int(p.argmax())
-            yield float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), len(p), worst, float(p[worst])
+            z = np.add.reduceat(v[word], first)
+            # 1 - p is (1 + e^b) / (1 + e^(b + z)), and exactly 1 where z is 0
+            clear = np.minimum(0.0, np.logaddexp(0.0, b) - np.logaddexp(0.0, b + z))
+            clear[z <= 0] = 0.0
+            use = np.flatnonzero(clear < 0)
+            place, last = np.flatnonzero(word), np.r_[first[1:], n] - 1
+            once = {tuple(tokens[place[first[i]] : place[last[i]] + 1]): clear[i] for i in use}
+            worst = int(clear.argmin())
+            yield float(-np.expm1(sum(once.values()))), len(z), worst, float(-np.expm1(clear[worst]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

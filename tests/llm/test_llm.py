@@ -574,6 +574,40 @@ def test_toxicity(spark):
     assert toxicity.score(df.where("false"), empty).count() == 0 and toxicity.score(df, empty).where("score > 0.3").count() == 0
 
 
+def plain_toxicity(model, text):
+    """Sentence by sentence: noisy-or of what each different sentence's words add to the bias."""
+    weights, bias = model
+    sigmoid = lambda x: 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+    clean, seen = 1.0, set()
+    for part in re.split(r"[.!?\n]", (text or "").lower()):
+        words = tuple(re.findall(r"[^\W_]+", part))
+        if words and words not in seen:
+            seen.add(words)
+            z = sum(weights.get(f, 0.0) for w in words for f in toxicity._features(w))
+            clean *= 1 - (sigmoid(bias + z) - sigmoid(bias)) / (1 - sigmoid(bias))
+    return 1 - clean
+
+
+def test_toxicity_is_the_noisy_or_of_sentences(spark):
+    rows, labels = toxic_corpus(400, 5)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(frame(spark, rows), lab)
+    assert model[0] and all(w > 0 for w in model[0].values())
+    clean, bad = (next(r[1] for r, (_, _, t) in zip(rows, labels, strict=True) if t == want) for want in (0, 1))
+    rng = random.Random(1)
+    new = lambda n: ". ".join(" ".join("".join(rng.choice("qxzjkv") for _ in range(6)) for _ in range(3)) for _ in range(n))
+    long_ = [clean * 2_000, (clean.split(".")[0] + ". ") * 200_000, new(200_000)]
+    odd = [None, "", "scumbag", "scumbag. scumbag! Scumbag", "scumbag. worthless", "scum_bag \n\n worthless?pathetic", new(20_000) + ". " + bad]
+    texts = [r[1] for r in rows] + odd + long_
+    out = {r.doc_id: r for r in toxicity.score(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(out[i].score - plain_toxicity(model, t)) < 1e-6, (i, (t or "")[:99])
+    n = len(rows)
+    assert out[n + 2].score == out[n + 3].score <= out[n + 4].score  # said again is no more evidence
+    assert all(out[n + len(odd) + k].score < 0.3 for k in range(3)) and out[n + len(odd) + 2].score == 0.0
+    assert out[n + 6].score > 0.3 and abs(out[n + 6].score - plain_toxicity(model, bad)) < 1e-6  # a long clean text before doesn't hide or add anything
+
+
 # 9
 
 
