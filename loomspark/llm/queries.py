@@ -78,7 +78,7 @@ def _license_sql() -> str:
     for label, text in license_scan.TEMPLATES:
         words = list(dict.fromkeys(text.split()))
         tokens = ", ".join(f"'{w}'" for w in words)
-        rows.append(f"('{label}', [{tokens}], {math.ceil(license_scan.CONTAINMENT * len(words) - 1e-9)})")
+        rows.append(f"('{label}', [{tokens}], {math.ceil(license_scan.CONTAINMENT * len(words) - 1e-9)}, {len(text.split())})")
     for phrase, label in license_scan.PHRASES:
         parts = phrase.split()
         fits = " AND ".join(f"ws[i + {k}] = '{x}'" for k, x in enumerate(parts))
@@ -87,9 +87,11 @@ def _license_sql() -> str:
     WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
     w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d),
     p AS (SELECT doc_id, len(ws) AS n_words, {" || ".join(lists)} AS places FROM w),
-    tm(label, tw, need) AS (VALUES {", ".join(rows)}),
+    tm(label, tw, need, span) AS (VALUES {", ".join(rows)}),
     lb AS (SELECT doc_id, list_distinct(regexp_extract_all(l, '{word}')) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
-    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share FROM lb, tm WHERE len(list_intersect(lw, tw)) >= need),
+    wb AS (SELECT doc_id, label, tw, need, span, ws, unnest(range(1, greatest(len(ws) - span + 1, 1) + 1)) AS i FROM w, tm WHERE span >= {license_scan.LONG} AND len(list_intersect(list_distinct(ws), tw)) >= need),
+    m AS (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share FROM lb, tm WHERE len(list_intersect(lw, tw)) >= need
+      UNION ALL SELECT doc_id, label, len(list_intersect(list_distinct(ws[i:i + span - 1]), tw)) / len(tw)::DOUBLE FROM wb WHERE len(list_intersect(list_distinct(ws[i:i + span - 1]), tw)) >= need),
     g AS (SELECT doc_id, list(label) AS found, max(share) AS best FROM m GROUP BY doc_id)
     SELECT doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min([x.i FOR x IN places])::BIGINT AS first_word,
       list_max([x.i FOR x IN places])::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct([x.l FOR x IN places])), ','), '') AS base_labels,

@@ -417,6 +417,62 @@ def test_wrapped_notices(spark):
     assert out[len(texts) - 1].notices == []
 
 
+def test_each_license_filter_rejects_something(spark):
+    """A block that one filter alone turns away; none turns away a block with enough of the template's words."""
+    order = list("abcdefghij")
+    need = 8
+    blocks = [list(x) for x in ("abcdefghij", "abcdefgh", "cdefghij", "abc", "defghijk", "cdefgij", "bcdefgh", "zzabcdefgh", "abefghijxyz", "jihgfedcba")]
+    df = spark.createDataFrame([(i, "".join(x)) for i, x in enumerate(blocks)], "i int, w string")
+    universe = F.array(*map(F.lit, "uvwxyz" + "".join(order)))  # tokens of other templates come first
+    template = (F.array(*map(F.lit, order)), F.array(*map(F.lit, order[: len(order) - need + 1])), F.lit(need))
+    for extra in ("", "uvwxyz"):
+        own = F.array_intersect(universe, F.split(F.concat("w", F.lit(extra)), ""))
+        got = df.select("i", *(c.alias(k) for k, c in license_scan.filters(own, *template).items())).collect()
+        alone = Counter()
+        for r in got:
+            enough = len(set(blocks[r.i]) & set(order)) >= need
+            fails = [k for k in ("length", "prefix", "position") if not r[k]]
+            assert not (enough and fails), (blocks[r.i], r)
+            if len(fails) == 1:
+                alone[fails[0]] += 1
+        if extra:
+            assert alone["position"] >= 1 and alone["prefix"] >= 1, alone
+    few = df.where("w = 'abc'").select(*(c.alias(k) for k, c in license_scan.filters(F.array_intersect(universe, F.split("w", "")), *template).items())).first()
+    assert not few.length and few.prefix
+
+
+def test_wrapped_notices_give_labels(spark):
+    """Whole notices, wrapped and commented as files have them, give labels; short ones only within a line."""
+    texts = [None, "", "All rights\nreserved", "Licensed under\nCC BY NC 4 0"]
+    for k, sign in ((11, "\n"), (7, "\n * "), (5, "\r\n# "), (100, "\n")):
+        texts += [f"some code\n/* {sign.join(' '.join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))} */\nint x" for _, t in license_scan.TEMPLATES]
+    texts += [" ".join(t.split()[: len(t.split()) * 2 // 3]) for _, t in license_scan.TEMPLATES] + ["word " * 3000 + license_scan.TEMPLATES[6][1].replace(" ", "\n") + " word" * 3000]
+    out = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[0-9a-z]+", (t or "").lower())
+        base = [label for phrase, label in license_scan.PHRASES if f" {phrase} " in f" {' '.join(words)} "]
+        found = {}
+        for label, text in license_scan.TEMPLATES:
+            own, n = set(text.split()), len(text.split())
+            blocks = [set(re.findall("[0-9a-z]+", line)) for line in (t or "").lower().split("\n")]
+            if n >= license_scan.LONG:
+                blocks += [set(words[k : k + n]) for k in range(max(1, len(words) - n + 1))]
+            share = max(len(own & b) for b in blocks) / len(own)
+            if share >= 0.8:
+                found[label] = max(share, found.get(label, 0))
+        assert out[i].labels == ",".join(sorted({*base, *found})), t
+        assert out[i].score == (1.0 if base else max(found.values(), default=0.0)), t
+    n = len(license_scan.TEMPLATES)
+    assert all(license_scan.TEMPLATES[i % n][0] in out[4 + i].labels.split(",") for i in range(n) if len(license_scan.TEMPLATES[i][1].split()) >= license_scan.LONG)
+    assert out[2].labels == out[3].labels == "" and "bsd" in out[len(texts) - 1].labels
+    odd = ["mit licen\u017fe MIT LICENSE", "MIT LICENSE \u212a", "\u0130 mit license \u0130mit license", "general pub\u017fic", "apache licen\u212ae \u212aapache license", "GNU \u212a general public license"]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(odd)])).collect()}
+    for i, t in enumerate(odd):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        places = [k for phrase, _ in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word) == (len(words), len(places), min(places, default=None)), t
+
+
 # 7
 
 
