@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._common import written
@@ -19,11 +19,16 @@ QUERY_STEP = 20
 NEAREST = 20
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as double) of the vectors that take part: not null, not zero, all components finite."""
+def valid() -> Column:
+    """Whether a row takes part: a vec_id, and a vector that isn't null or zero and whose components are all finite."""
     e = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & e.isNotNull() & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"))
+    return F.coalesce(fine, F.lit(False))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding as double) of the vectors that take part."""
+    return vectors.where(valid()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 class Graph:

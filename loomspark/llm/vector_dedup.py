@@ -9,28 +9,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm._common import components, lean, written
-from loomspark.llm.hnsw import usable
+from loomspark.llm.hnsw import usable, valid
 
 LINK = 0.9
-#: Distinct vectors that codebooks and the number of visited cells are fitted on, at most.
-SAMPLE = 8000
-#: Vectors to a cell of the grid on average, and codewords of a half at most.
-CELL, WORDS = 64, 256
+#: Distinct vectors that codebooks and the number of visited cells are fitted on: so many, or so many for each codeword.
+SAMPLE, TO_WORD = 8000, 8
+#: Vectors to a cell of the grid on average, and codewords of a half at most (cells stay small up to 10^9 vectors).
+CELL, WORDS = 64, 4096
+#: Cells that a traversal visits at first, when it is fitted; twice as many until RECALL is met.
+FIRST = 256
 #: Share of vectors at exactly the link's cosine whose cell a traversal must reach.
 RECALL = 0.98
 #: Vectors of one side that are compared in one piece of work, at most about.
 BLOCK = 1024
 
 
+def codewords(n: int) -> int:
+    """Codewords of a half for n vectors: a cell of the grid holds CELL of them on average."""
+    return int(min(WORDS, max(2, round(math.sqrt(n / CELL)))))
+
+
 def _codebook(half, k: int, rng):
     import numpy as np
 
     words = half[rng.choice(len(half), min(k, len(half)), replace=False)].copy()
     for _ in range(12):
-        at = _distances(half, words).argmin(1)
-        for i in range(len(words)):
-            if (own := at == i).any():
-                words[i] = half[own].mean(0)
+        at = np.concatenate([_distances(half[i : i + 4096], words).argmin(1) for i in range(0, len(half), 4096)])
+        count = np.bincount(at, minlength=len(words))
+        total = np.zeros_like(words)
+        np.add.at(total, at, half)
+        words[count > 0] = total[count > 0] / count[count > 0, None]
     return words
 
 
@@ -46,23 +54,58 @@ class Grid:
 
         rng = np.random.default_rng(seed)
         self.half = sample.shape[1] // 2
-        k = int(min(WORDS, max(2, round(math.sqrt(n / CELL)))))
-        self.words = [_codebook(h, k, rng) for h in (sample[:, : self.half], sample[:, self.half :])]
-        # how far a traversal goes: until it reaches the cell of a vector at the link's cosine, or is reached from it
+        self.words = [_codebook(h, codewords(n), rng) for h in (sample[:, : self.half], sample[:, self.half :])]
+        # how far a traversal goes: until it reaches the cell of a vector at the link's cosine, or is reached from it;
+        # for directions at random, and for the sample's own links, the loosest first
         x = sample[:1000]
         away = rng.normal(size=x.shape)
         away -= (away * x).sum(1)[:, None] * x
         away /= np.maximum(1e-12, np.linalg.norm(away, axis=1))[:, None]
-        y = link * x + math.sqrt(1 - link * link) * away
-        self.visited = self.size
-        a, b = self.traverse(x), self.traverse(y)
+        tests = [(x, link * x + math.sqrt(1 - link * link) * away)]
+        own = self._links(sample, link)
+        if len(own):
+            tests.append((sample[own[:, 0]], sample[own[:, 1]]))
+        self.visited, size = min(FIRST, self.size), self.size
+        while True:
+            ranks = [self._rank(a, b) for a, b in tests]
+            need = max(int(np.quantile(r, recall, method="higher")) + 1 for r in ranks)
+            if need <= self.visited or self.visited >= size:
+                break
+            self.visited = min(size, 2 * self.visited)
+        # the whole grid has every cell, so the loop ends with the recall met
+        self.visited = min(need, size)
+        self.recall = min(float((r < self.visited).mean()) for r in ranks)
+
+    @staticmethod
+    def _links(sample, link: float, most: int = 1000):
+        """Pairs of the sample at the link's cosine or above it, those next to it first."""
+        import numpy as np
+
+        found, near = [], []
+        for i in range(0, len(sample), 1000):
+            cos = sample[i : i + 1000] @ sample.T
+            a, b = np.nonzero(cos >= link)
+            use = a + i < b
+            a, b = a[use], b[use]
+            by = np.argsort(cos[a, b])[:most]
+            found.append(np.stack([a[by] + i, b[by]], 1))
+            near.append(cos[a[by], b[by]])
+        return np.concatenate(found)[np.argsort(np.concatenate(near), kind="stable")[:most]]
+
+    def _rank(self, x, y):
+        """The step at which a traversal from one of each two vectors meets the other's cell; the grid's size if none of visited does."""
+        import numpy as np
+
+        out, rows = [], max(1, 4_000_000 // (self.visited * 16))
         place = lambda seen, cell: np.where((hit := seen == cell[:, None]).any(1), hit.argmax(1), self.size)
-        rank = np.minimum(place(a, b[:, 0]), place(b, a[:, 0]))
-        self.visited = int(min(self.size, np.quantile(rank, recall, method="higher") + 1))
+        for i in range(0, len(x), rows):
+            a, b = self.traverse(x[i : i + rows]), self.traverse(y[i : i + rows])
+            out.append(np.minimum(place(a, b[:, 0]), place(b, a[:, 0])))
+        return np.concatenate(out)
 
     @property
     def size(self) -> int:
-        return min(4 * CELL, len(self.words[0]) * len(self.words[1]))
+        return len(self.words[0]) * len(self.words[1])
 
     def traverse(self, x):
         """The cells of each vector in the order of their distance, as a multi-sequence walk meets them; its own first.
@@ -80,8 +123,8 @@ class Grid:
         return (by1[:, i] * two.shape[1] + by2[:, j])[np.arange(len(x))[:, None], first]
 
 
-def _compare(link: float):
-    """Counts of links and a forest of edges for the queries and members of one cell."""
+def _compare(link: float, kind: str):
+    """Counts of links and a forest of edges for the queries and members of one cell; kind: how vectors are packed."""
 
     def run(pdf):
         import numpy as np
@@ -93,7 +136,7 @@ def _compare(link: float):
             return pd.DataFrame({"node": np.empty(0, np.int64), "n": np.empty(0, np.int64), "to": np.empty(0, np.int64)})
 
         def unit(rows):
-            x = np.array(rows["embedding"].tolist(), np.float64)
+            x = np.frombuffer(b"".join(rows["packed"]), kind).reshape(len(rows), -1).astype(np.float64)
             return x / np.linalg.norm(x, axis=1)[:, None]
 
         qid, mid = q["rep"].to_numpy(), m["rep"].to_numpy()
@@ -142,8 +185,10 @@ def dedup(vectors: DataFrame, link: float = LINK) -> DataFrame:
     spark = vectors.sparkSession
     fine = usable(vectors)
     nodes = written(fine.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-nodes")
-    sample = nodes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()
     n = nodes.count()
+    sample = nodes.orderBy(F.xxhash64("rep"), "rep").limit(max(SAMPLE, TO_WORD * codewords(n))).select("embedding").collect()
+    # single precision holds vectors of floats as they are, at half the bytes
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     grids = {}
     for dims in {len(r["embedding"]) for r in sample}:
         x = np.array([r["embedding"] for r in sample if len(r["embedding"]) == dims], np.float64)
@@ -158,31 +203,35 @@ def dedup(vectors: DataFrame, link: float = LINK) -> DataFrame:
             lengths = pdf["embedding"].map(len)
             for dims, part in pdf.groupby(lengths, sort=False):
                 grid = shared.value.get(dims)
+                x = np.array(part["embedding"].tolist(), np.float64)
                 if grid is None:  # a length that the sample lacks: one cell
                     visits = np.zeros((len(part), 1), np.int64)
                 else:
-                    x = np.array(part["embedding"].tolist(), np.float64)
-                    visits = grid.traverse(x / np.linalg.norm(x, axis=1)[:, None])
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "dims": dims, "cell": visits[:, 0], "visits": list(visits)})
+                    unit, rows = x / np.linalg.norm(x, axis=1)[:, None], max(1, 4_000_000 // (grid.visited * 16))
+                    visits = np.concatenate([grid.traverse(unit[i : i + rows]) for i in range(0, len(unit), rows)])
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "packed": [v.tobytes() for v in x.astype(kind)], "dims": dims, "cell": visits[:, 0], "visits": list(visits)})
 
-    where = written(nodes.mapInPandas(lean(placed), "rep long, copies long, embedding array<double>, dims int, cell long, visits array<long>"), "vector-cells")
+    where = written(nodes.mapInPandas(lean(placed), "rep long, copies long, packed binary, dims int, cell long, visits array<long>"), "vector-cells")
     sizes = where.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("members"))
     asks = where.select("dims", F.explode("visits").alias("cell")).groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("queries"))
     # pieces of a cell: at most as many cells as the grids have
     cells = sizes.join(asks, ["dims", "cell"]).select("dims", F.col("cell").alias("at"), F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("qb"))
-    cells = F.broadcast(cells) if len(grids) * WORDS * WORDS <= 1_000_000 else cells
+    cells = F.broadcast(cells) if sum(g.size for g in grids.values()) + 1 <= 1_000_000 else cells
     block = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = ["rep", "copies", "embedding", "cell", "visits"]
+    data = ["rep", "copies", "packed", "cell", "visits"]
     members = where.withColumn("at", F.col("cell")).join(cells, ["dims", "at"]).select("dims", "at", block("mb", 0).alias("m"), every("qb").alias("q"), *data, F.lit(False).alias("query"))
     none = F.array().cast("array<bigint>")
-    asking = where.withColumn("at", F.explode("visits")).join(cells, ["dims", "at"]).select("dims", "at", every("mb").alias("m"), block("qb", 1).alias("q"), "rep", "copies", "embedding", "cell", none.alias("visits"), F.lit(True).alias("query"))
-    found = members.unionByName(asking).groupBy("dims", "at", "m", "q").applyInPandas(_compare(link), "node long, n long, to long")
+    asking = where.withColumn("at", F.explode("visits")).join(cells, ["dims", "at"]).select("dims", "at", every("mb").alias("m"), block("qb", 1).alias("q"), "rep", "copies", "packed", "cell", none.alias("visits"), F.lit(True).alias("query"))
+    found = members.unionByName(asking).groupBy("dims", "at", "m", "q").applyInPandas(_compare(link, kind), "node long, n long, to long")
     found = written(found, "vector-links")
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     group = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")), "vector-group")
     known = nodes.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(group.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = rows.join(known, "embedding", "left").withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")))
-    return out.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    # rows that take no part have no key to be joined by, so they don't gather anywhere
+    fine = valid()
+    alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = rows.where(fine).join(known, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
