@@ -35,7 +35,7 @@ class Parser:
         n = PART + 4 * LENGTH
         self.power, self.back = (self._powers(b, n) for b in (_B, pow(_B, -1, 1 << 64)))
         rng = np.random.default_rng(20)
-        self.value = rng.integers(1, _ALL, 256, dtype=np.uint64, endpoint=True)
+        self.value, self.other = (rng.integers(1, _ALL, 256, dtype=np.uint64, endpoint=True) for _ in range(2))
 
     @staticmethod
     def _powers(b: int, n: int):
@@ -46,12 +46,12 @@ class Parser:
             out = np.concatenate([out, out * np.uint64(pow(b, len(out), 1 << 64))])
         return out[:n]
 
-    def sums(self, text: bytes):
-        """Prefix sums from which the hash of any range follows."""
+    def sums(self, text: bytes, value=None):
+        """Prefix sums from which the hash of any range follows, by a value for each byte."""
         import numpy as np
 
         out = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(self.value[np.frombuffer(text, np.uint8)] * self.power[: len(text)], out=out[1:])
+        np.cumsum((self.value if value is None else value)[np.frombuffer(text, np.uint8)] * self.power[: len(text)], out=out[1:])
         return out
 
     def hashes(self, sums, start, end):
@@ -64,15 +64,16 @@ class Parser:
         return h
 
     def windows(self, text: bytes):
-        """The hashes of all strings of LENGTH bytes."""
+        """Two hashes of all strings of LENGTH bytes, of 64 and of 32 bits, that know nothing of each other."""
         import numpy as np
 
-        out = []
+        out = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
         for at in range(0, len(text) - LENGTH + 1, PART):
             part = text[at : at + PART + LENGTH - 1]
             start = np.arange(len(part) - LENGTH + 1)
-            out.append(self.hashes(self.sums(part), start, start + LENGTH))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            own, other = (self.hashes(self.sums(part, v), start, start + LENGTH) for v in (self.value, self.other))
+            out.append((own, other >> np.uint64(32)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def phrases(self, texts: list[bytes]):
         """(text, first window, last window, trigger hash, phrase hash) of the phrases of texts of at most PART windows in all.
@@ -198,7 +199,7 @@ def _resolve(windows: bool):
     """From rows sorted by gram, phrase and place: spans that are repeated (SPAN), and phrases still open (PHRASE).
 
     A phrase is open if its gram has another phrase, since a part of it may be repeated all the same. With windows,
-    rows are single windows, and nothing is open.
+    rows are single windows, gram and phrase are their two hashes, and nothing is open.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -229,18 +230,25 @@ def _resolve(windows: bool):
             lo = at // 128
             yield {"doc": r["doc"][~spans][use], "rid": r["rid"][~spans][use], "lo": lo, "hi": lo + at % 128, "kind": np.where(left[use], PHRASE, SPAN)}
 
-        rest = None
+        def whole(parts):
+            return {c: np.concatenate([x[c] for x in parts]) for c in names}
+
+        rest: list[dict] = []  # rows of the last gram, which may go on, as they came
         for batch in batches:
             now = {c: batch.column(i).to_numpy() for i, c in enumerate(names)}
-            if rest is not None:
-                now = {c: np.concatenate([rest[c], now[c]]) for c in names}
-            cut = int(np.searchsorted(now["gram"], now["gram"][-1])) if len(now["gram"]) else 0
-            rest = {c: x[cut:] for c, x in now.items()}
-            if cut:
-                for columns in out({c: x[:cut] for c, x in now.items()}):
-                    yield _batch(columns, types)
-        if rest is not None:
-            for columns in out(rest):
+            if not len(now["gram"]):
+                continue
+            last = now["gram"][-1]
+            if not rest or rest[-1]["gram"][-1] != last or now["gram"][0] != last:
+                now = whole([*rest, now])
+                cut = int(np.searchsorted(now["gram"], last))
+                if cut:
+                    for columns in out({c: x[:cut] for c, x in now.items()}):
+                        yield _batch(columns, types)
+                rest, now = [], {c: x[cut:] for c, x in now.items()}
+            rest.append(now)
+        if rest:
+            for columns in out(whole(rest)):
                 yield _batch(columns, types)
 
     return run
@@ -256,8 +264,8 @@ def _open_windows(batches: Iterator) -> Iterator:
         for doc, rid, text, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             lo, n = np.array(lo, np.int64), np.array(hi, np.int64) - np.array(lo, np.int64) + 1
             w = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            h = parser.windows(text)[w].view(np.int64)
-            held.append((h, np.zeros(len(w), np.int64), np.full(len(w), doc), np.full(len(w), rid), w, w))
+            own, other = (h[w].view(np.int64) for h in parser.windows(text))
+            held.append((own, other, np.full(len(w), doc), np.full(len(w), rid), w, w))
             count += len(w)
             if count > 2 * HELD:
                 yield from _firsts(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -302,9 +310,9 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     Bytes covered by a string of 100 bytes that also starts earlier (in a smaller doc_id, or before in the text) go.
     Rolling-hash triggers parse the texts into phrases, of which the dictionary holds the distinct ones, each with its
     first place in the corpus. Phrases that are there again are repeated as a whole. Phrases with the same trigger gram
-    but different bytes are opened: the suffixes of the dictionary's phrases are put in order up to 100 bytes, by
-    hash, and of equal ones all but the first in the corpus are repeated. Suffixes of phrases with unlike triggers
-    can't agree in 100 bytes.
+    but different bytes are opened: the 100-byte prefixes of their suffixes are dealt and ordered by hash, not by bytes,
+    and of equal ones all but the first in the corpus are repeated. Suffixes of phrases with unlike triggers can't agree
+    in 100 bytes. Phrases are equal if 128 bits of hashes are (gram and phrase), windows if 96 are.
 
     Null text counts as empty. Documents with null doc_id come last; rows that share a doc_id are put in one fixed order,
     so that of repeated rows one is kept. No rows give no rows; other columns aren't read.

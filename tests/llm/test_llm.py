@@ -304,6 +304,26 @@ def test_multi_sequence_walk_meets_the_nearest_cells():
     assert np.allclose(np.take_along_axis(total, got, 1), np.sort(total, axis=1)[:, : got.shape[1]])
 
 
+def test_links_just_above_the_threshold_are_found(spark):
+    """Pairs at cosines of 0.9 to 0.91, over grids with more cells than a traversal visits at first."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cos = rng.uniform(0.9005, 0.91, (len(x), 1))
+    y = cos * x + np.sqrt(1 - cos * cos) * away
+    rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(np.concatenate([x, y]))]
+    out = {r.vec_id: r for r in vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect()}
+    found = sum(out[i].n_links == 1 and out[i].component_id == out[i + len(x)].component_id == i for i in range(len(x)))
+    assert found >= 0.95 * len(x), found / len(x)
+    grid = vector_dedup.Grid(np.concatenate([x, y]), 64 * 40 * 40)
+    assert grid.size == 1600 and grid.recall >= vector_dedup.RECALL
+    tight = vector_dedup.Grid(np.concatenate([x, y]), 64 * 40 * 40, link=0.5)  # far links: the walk goes on until it meets them
+    assert tight.recall >= vector_dedup.RECALL and tight.visited > vector_dedup.FIRST
+
+
 @pytest.mark.parametrize("shard", [80, 6000])
 def test_nearest_neighbours(spark, shard):
     rows = vectors(3)
@@ -368,6 +388,28 @@ def test_substring_dedup_without_odd_ids(spark):
     assert got == Counter(substring_expected(rows))
 
 
+def test_substring_hashes_alone_decide_nothing(spark, docs, rows, monkeypatch):
+    """Windows that share their first hash are told apart by the second."""
+    whole = substring_dedup.Parser.windows
+    monkeypatch.setattr(substring_dedup.Parser, "windows", lambda self, text: (whole(self, text)[0] & np.uint64(7), whole(self, text)[1]))
+    out = substring_dedup.dedup(docs).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out) == Counter(substring_expected(rows))
+
+
+def test_substring_groups_over_many_batches():
+    """Rows of one gram that come in many batches are judged as one group, each held once."""
+    import pyarrow as pa
+
+    n = 3000
+    gram = np.r_[np.full(n, 5), np.full(10, 6)]
+    columns = {"gram": gram, "phrase": np.r_[np.arange(n) // 3, np.zeros(10, int)], "doc": np.arange(n + 10), "rid": np.zeros(n + 10, int), "at": np.full(n + 10, 128 * 7 + 3), "kind": np.zeros(n + 10, int), "salt": np.zeros(n + 10, int)}
+    types = substring_dedup._types(substring_dedup.ROWS)
+    one = [substring_dedup._batch(columns, types)]
+    many = [one[0].slice(i, 7) for i in range(0, n + 10, 7)]
+    got = [sorted(tuple(r.values()) for b in substring_dedup._resolve(False)(iter(x)) for r in b.to_pylist()) for x in (one, many)]
+    assert got[0] == got[1] and sum(r[4] == substring_dedup.SPAN for r in got[0]) == n - n // 3 + 9
+
+
 # 6
 
 
