@@ -37,6 +37,16 @@ PATTERNS = (
     ("base64", r"(?<![A-Za-z0-9+/])(?=[A-Za-z/+]{0,39}[0-9])[A-Za-z0-9+/]{40,}={0,2}"),
 )
 
+
+def _candidate() -> str:
+    """PATTERNS as one pattern that matches the same, in the same order, with what they share looked at once."""
+    own, edge = dict(PATTERNS), r"(?<![A-Za-z0-9])"
+    keys = "|".join(own[k].removeprefix(edge) for k in ("aws_key", "github_token", "slack_token", "stripe_key", "google_key", "jwt"))
+    return "|".join((own["private_key"], f"{edge}(?=[Aghxsre])(?:{keys})", f"(?=[pstaPSTA]){own['assignment']}", own["hex"], own["base64"]))
+
+
+CANDIDATE = _candidate()
+
 #: The dictionary for coverage, and neighbours that speak for and against a secret.
 DICTIONARY = ("password", "passwd", "secret", "token", "example", "sample", "test", "your", "change", "changeme", "default", "admin", "user", "name", "value", "null", "none", "true", "false", "placeholder", "dummy", "string", "required", "config", "env", "process", "here", "insert", "enter", "this", "that", "key", "file", "path", "var", "get", "set", "auth", "login", "access", "public", "private", "service", "server", "client", "data", "info", "word", "xxxx")
 FOR = r"(?i)(?:passw|pwd|secret|token|api.?key|access.?key|auth|credential|bearer)"
@@ -156,7 +166,7 @@ def _placed(docs: DataFrame, forest: Forest, at: float) -> DataFrame:
 
     Matches and the gaps between them are cut out by the same pattern, so lengths tell where each match stands.
     """
-    pattern = F.lit("|".join(p for _, p in PATTERNS))
+    pattern = F.lit(CANDIDATE)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.withColumn("__loom_matches", F.regexp_extract_all(text, pattern, F.lit(0)))
     out = out.withColumn("__loom_gaps", F.when(F.size("__loom_matches") > 0, F.split(text, pattern.cast("string"), -1)))
