@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.registry import Registry
+from loomspark.schema import ENRICHMENT, RAW_PAYLOAD
+
+#: Where a detector looks for its metric.
+BAGS = {"enrichment": ENRICHMENT, "raw_payload": RAW_PAYLOAD}
 
 
 def numeric(df: DataFrame, metric: str) -> DataFrame:
@@ -18,6 +22,10 @@ def numeric(df: DataFrame, metric: str) -> DataFrame:
     return df.where(F.col(metric).isNotNull()).withColumn(metric, F.col(metric).cast("double"))
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def chunked(df: DataFrame, order: Sequence[str], window: int, rows: int) -> DataFrame:
     """df cut into runs of about rows rows in order (_chunk), each led by the window rows before it (_halo).
 
@@ -59,10 +67,26 @@ class _Detector:
 
     name = ""
     chunk_rows: int | None = None
+    bag = "enrichment"
+
+    def _from(self, source_dict: str) -> None:
+        if source_dict not in BAGS:
+            raise ValueError("source_dict must be 'enrichment' or 'raw_payload'")
+        self.bag = source_dict
+
+    def numbers(self, df: DataFrame) -> DataFrame:
+        """df with the metric as the detector's bag has it: a column that isn't one of the other bag's, or else the
+        bag's entry, where df holds the bag as a map of text. Without either the metric is null."""
+        others = {c for k, names in BAGS.items() if k != self.bag for c in names}
+        if self.metric in df.columns and self.metric not in others:
+            return df
+        held = self.bag in df.columns and dict(df.dtypes)[self.bag].startswith("map")
+        value = F.expr(f"try_cast({self.bag}[{_sql(self.metric)}] as double)") if held else F.lit(None).cast("double")
+        return df.withColumn(self.metric, value)
 
     def _windowed(self, df: DataFrame, order: Sequence[str], series_by: Sequence[str], size: int):
         """Numeric rows, and the window of at most size rows before a row."""
-        df = numeric(df, self.metric)
+        df = numeric(self.numbers(df), self.metric)
         by = list(series_by)
         if self.chunk_rows and not by:
             df, by = chunked(df, order, size, self.chunk_rows), ["_chunk"]
@@ -97,7 +121,8 @@ class ZScore(_Detector):
 
     name = "z_score"
 
-    def __init__(self, metric_key: str = "metric", threshold: float = 3.0, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None):
+    def __init__(self, metric_key: str = "metric", threshold: float = 3.0, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None, source_dict: str = "enrichment"):
+        self._from(source_dict)
         if window_size <= 1:
             raise ValueError("window_size must be > 1")
         if threshold <= 0:
@@ -127,7 +152,8 @@ class Iqr(_Detector):
 
     name = "iqr"
 
-    def __init__(self, metric_key: str = "metric", k: float = 1.5, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None):
+    def __init__(self, metric_key: str = "metric", k: float = 1.5, window_size: int = 100, min_samples: int = 30, chunk_rows: int | None = None, source_dict: str = "enrichment"):
+        self._from(source_dict)
         if window_size <= 1:
             raise ValueError("window_size must be > 1")
         if k <= 0:
@@ -160,7 +186,8 @@ class Cusum(_Detector):
 
     name = "cusum"
 
-    def __init__(self, metric_key: str = "metric", threshold: float = 5.0, slack: float = 0.5, warmup_samples: int = 30):
+    def __init__(self, metric_key: str = "metric", threshold: float = 5.0, slack: float = 0.5, warmup_samples: int = 30, source_dict: str = "enrichment"):
+        self._from(source_dict)
         if threshold <= 0:
             raise ValueError("threshold must be > 0")
         if slack < 0:
@@ -172,7 +199,7 @@ class Cusum(_Detector):
     def score(self, df, order, series_by=()):
         from pyspark.sql import types as T
 
-        rows = numeric(df, self.metric).withColumn("_series", F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in series_by)) if series_by else F.lit(""))
+        rows = numeric(self.numbers(df), self.metric).withColumn("_series", F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in series_by)) if series_by else F.lit(""))
         schema = T.StructType([f for f in rows.schema if f.name != "_series"])
         for c in ("target", "sigma", "s_high", "s_low"):
             schema = schema.add(c, "double")
@@ -211,9 +238,14 @@ class Cusum(_Detector):
 
 
 def tagged(df: DataFrame, detector: _Detector, order: Sequence[str], series_by: Sequence[str] = ()) -> DataFrame:
-    """df with anomaly_<detector>: the score where it fires; all rows stay, those without a number too."""
-    scores = detector.fired(df, order, series_by).select("id", F.col("score").alias(f"anomaly_{detector.name}"))
-    return df.join(scores, "id", "left")
+    """df with anomaly_<detector>: the score where it fires; all rows stay, those without a number too. Nothing is joined."""
+    tag = f"anomaly_{detector.name}"
+    rows = detector.numbers(df)
+    kind = dict(rows.dtypes)[detector.metric]
+    plain = F.lit(True) if kind in ("boolean", "string") else F.col(detector.metric).isNull()
+    scored = detector.score(rows, order, series_by).withColumn(detector.metric, F.col(detector.metric).cast(kind)).withColumn(tag, F.when(F.col("fired"), F.col("score")))
+    out = scored.select(*rows.columns, tag).unionByName(rows.where(plain).withColumn(tag, F.lit(None).cast("double")))
+    return out.select(*df.columns, tag)
 
 
 def default_detectors() -> tuple[Registry, Registry]:

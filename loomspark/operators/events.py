@@ -70,16 +70,21 @@ class CollectingListener:
 
 
 class MetricsListener:
-    """Counts events by type."""
+    """Counts events by type, traces by why they closed and anomalies by detector: one small aggregate for each event."""
 
     def __init__(self, registry: MetricsRegistry = default_registry):
         self.registry = registry
 
     def __call__(self, event) -> None:
         self.registry.inc(f"event.{type(event).__name__}")
+        for df, by, name in ((getattr(event, "traces", None), "closed_reason", "traces.closed"), (getattr(event, "anomalies", None), "detector_name", "anomalies")):
+            if df is not None and by in df.columns:
+                for r in df.groupBy(by).count().collect():
+                    self.registry.inc(f"{name}.{r[by]}", r["count"])
 
 
-Stage = Callable[[DataFrame], DataFrame]
+#: What the wrappers below wrap: a stage that builds a plan, or an action that runs one, such as LogStore.save_batch.
+Stage = Callable[[DataFrame], DataFrame | None]
 
 
 def with_retry(stage: Stage, max_retries: int = 3, base_delay_s: float = 0.05, max_delay_s: float = 1.0, backoff_factor: float = 2.0, sleep=time.sleep) -> Stage:
@@ -103,7 +108,7 @@ def with_retry(stage: Stage, max_retries: int = 3, base_delay_s: float = 0.05, m
 
 
 def with_timing(stage: Stage, name: str, registry: MetricsRegistry = default_registry) -> Stage:
-    """A stage whose time and number of calls are counted, also if it fails. Building a plan is what is timed."""
+    """A stage whose time and number of calls are counted, also if it fails: of a plan its building, of an action its run."""
 
     @wraps(stage)
     def timed(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def with_block(df: DataFrame) -> DataFrame:
 
 def traces(
     df: DataFrame, order: Sequence[str], max_records_per_trace: int | None = 1000, idle_window_s: float = 30.0, terminal: Sequence[str] = TERMINAL,
-    janitor: str = "final", run_id: str | None = None, keep_records: bool = True,
+    janitor: str = "final", run_id: str | None = None, keep_records: bool = True, max_open_traces: int | None = None,
 ) -> DataFrame:
     """Traces of rows (block_id, event_id, timestamp, id): block_id, chunk, event_sequence, record_ids, first and last
     timestamp, record_count, pipeline_run_id, closed_reason.
@@ -28,6 +28,10 @@ def traces(
     terminal event as "terminal", those idle for longer than idle_window_s before the latest time of all as "timeout",
     and the rest as "shutdown"; with "none" all are "shutdown".
 
+    max_open_traces bounds how many blocks are open at once; the one that was longest without a row closes as "evicted".
+    Where there are no more blocks than that, it changes nothing; else rows are read one after another by
+    evict_least_recent(), and ids must be unique.
+
     One shuffle by block serves the numbering of chunks and the grouping. max_records_per_trace None groups whole
     blocks, and then rows are combined before the shuffle as far as lists can be.
     """
@@ -37,8 +41,12 @@ def traces(
         raise ValueError("max_records_per_trace must be > 0")
     if janitor not in ("final", "none"):
         raise ValueError("janitor must be final or none")
-    rows = with_block(df)
-    if max_records_per_trace is None:
+    rows, evicted = with_block(df), None
+    if max_open_traces is not None and rows.select("block_id").distinct().limit(max_open_traces + 1).count() > max_open_traces:
+        marks = evict_least_recent(rows, order, max_open_traces, max_records_per_trace).persist()
+        rows = rows.join(marks.select("id", F.col("trace").alias("chunk")), "id")
+        evicted = marks.where("evicted is not null").select(F.col("evicted").alias("block_id"), F.col("evicted_trace").alias("chunk"), F.lit(True).alias("_evicted"))
+    elif max_records_per_trace is None:
         rows = rows.withColumn("chunk", F.lit(0).cast("long"))
     else:
         before = Window.partitionBy("block_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,15 +66,18 @@ def traces(
         closed = F.when(F.col("_terminal") > 0, "terminal").when(idle, "timeout").otherwise(closed)
     if max_records_per_trace is not None:
         closed = F.when(F.size("event_sequence") >= max_records_per_trace, "evicted").otherwise(closed)
+    if evicted is not None:
+        out = out.join(evicted, ["block_id", "chunk"], "left")
+        closed = F.when(F.col("_evicted"), "evicted").otherwise(closed)
     return out.select("block_id", "chunk", "event_sequence", "record_ids", "first_timestamp", "last_timestamp", "record_count", F.lit(run_id).cast("string").alias("pipeline_run_id"), closed.alias("closed_reason"))
 
 
-def evict_least_recent(df: DataFrame, order: Sequence[str], max_open_traces: int, max_records_per_trace: int = 1000) -> DataFrame:
-    """(block_id, chunk, n) of rows with a bounded number of open blocks: (…, trace, evicted), in one task.
+def evict_least_recent(df: DataFrame, order: Sequence[str], max_open_traces: int, max_records_per_trace: int | None = 1000) -> DataFrame:
+    """(block_id, id, trace, evicted, evicted_trace) of rows with a bounded number of open blocks, in one task.
 
     The exact order of evictions depends on how all blocks interleave, so this emulation reads the rows one after
     another; it holds max_open_traces counters and is for comparison, not for scale. Each row gets the number of its
-    trace in the block, and evicted marks the row at which its trace was put out.
+    trace in the block; evicted and evicted_trace name the block and trace that was put out at the row, if any.
     """
     if max_open_traces <= 0:
         raise ValueError("max_open_traces must be > 0")
@@ -84,18 +95,18 @@ def evict_least_recent(df: DataFrame, order: Sequence[str], max_open_traces: int
                 state = open_.setdefault(block, [0, closed[block]])
                 open_.move_to_end(block)
                 state[0] += event is not None and event == event
-                out.append((block, own, state[1], None))
-                if state[0] >= max_records_per_trace:
+                out.append((block, own, state[1], None, None))
+                if max_records_per_trace is not None and state[0] >= max_records_per_trace:
                     open_.pop(block)
                     closed[block] += 1
-                    out[-1] = (block, own, state[1], block)
+                    out[-1] = (block, own, state[1], block, state[1])
                 elif len(open_) > max_open_traces:
-                    gone, _ = open_.popitem(last=False)
+                    gone, (_, trace) = open_.popitem(last=False)
                     closed[gone] += 1
-                    out[-1] = (block, own, state[1], gone)
-            yield pd.DataFrame(out, columns=["block_id", "id", "trace", "evicted"])
+                    out[-1] = (block, own, state[1], gone, trace)
+            yield pd.DataFrame(out, columns=["block_id", "id", "trace", "evicted", "evicted_trace"]).astype({"evicted_trace": "Int64"})
 
-    return with_block(df).coalesce(1).sortWithinPartitions(*order).select("block_id", "event_id", "id").mapInPandas(run, "block_id string, id string, trace long, evicted string")
+    return with_block(df).coalesce(1).sortWithinPartitions(*order).select("block_id", "event_id", "id").mapInPandas(run, "block_id string, id string, trace long, evicted string, evicted_trace long")
 
 
 def trace_records(traces: DataFrame, records: DataFrame) -> DataFrame:

@@ -82,11 +82,19 @@ class LogStore:
         df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
         if self.path:
             df = df.withColumn("date", F.to_date({"log_records": "timestamp", "block_traces": "last_timestamp", "anomaly_events": "detected_at"}[table]))
-            df.write.mode("append").partitionBy("date").parquet(f"{self.path}/{table}")
+            self._append(df.write.partitionBy("date").format("parquet").option("path", f"{self.path}/{table}"), table)
         else:
             self._memory[table] = self._memory[table].unionByName(df) if table in self._memory else df
             self._memory[table].createOrReplaceTempView(f"loomspark_{table}")
 
+    @staticmethod
+    def _append(writer, table: str) -> None:
+        """Spark tries a failed task again by itself; what fails for good is an error of the store."""
+        try:
+            writer.mode("append").save()
+        except Exception as e:
+            raise RepositoryError(f"writing {table} failed: {e}"[:2000]) from e
+
     def save_batch(self, records: DataFrame) -> None:
         self.save("log_records", records)
 
@@ -154,10 +162,16 @@ class JdbcStore(LogStore):
         self.options = {"url": dsn, **options}
 
     def save(self, table: str, df: DataFrame) -> None:
+        if table not in TABLES:
+            raise RepositoryError(f"unknown table: {table}")
+        schema = self.spark.createDataFrame([], TABLES[table]).schema
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
         out = df.select(*(F.to_json(c).alias(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes))
-        out.write.format("jdbc").options(**self.options, dbtable=table).mode("append").save()
+        self._append(out.write.format("jdbc").options(**self.options, dbtable=table), table)
 
     def read(self, table: str) -> DataFrame:
+        if table not in TABLES:
+            raise RepositoryError(f"unknown table: {table}")
         schema = self.spark.createDataFrame([], TABLES[table]).schema
         df = self.spark.read.format("jdbc").options(**self.options, dbtable=table).load()
         text = {f.name: f.dataType for f in schema if f.dataType.simpleString().startswith(("map", "array"))}

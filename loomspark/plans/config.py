@@ -1,4 +1,6 @@
-"""Configurations: closed dataclasses, but for validators and detectors, which take options of their own; YAML files."""
+"""Keys and defaults of the configuration files.
+
+Configurations: closed dataclasses, but for validators and detectors, which take options of their own; YAML files."""
 
 from __future__ import annotations
 

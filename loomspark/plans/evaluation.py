@@ -25,6 +25,18 @@ def block_events(spark: SparkSession, log: str, templates: str, max_lines: int |
     return sessionize.traces(rows, ORDER, None, janitor="none", keep_records=False)
 
 
+def training_counts(spark: SparkSession, log: str, templates: str, labels: str, max_lines: int | None = None, kind: str = "hdfs") -> dict[str, int]:
+    """What a training run reads and leaves out: lines parsed, matched and skipped, blocks, normal and unlabelled ones."""
+    lines = text.lines(spark, log)
+    rows = classify(parse(lines if max_lines is None else text.cap(lines, max_lines), kind), text.templates(spark, templates))
+    good = F.col("parse_error").isNull()
+    use = good & F.col("event_id").isNotNull() & (F.coalesce("block_id", F.lit("")) != "")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    out = rows.agg(n(good).alias("parsed"), n(use).alias("matched"), n(good & ~use).alias("skipped")).first().asDict()
+    blocks = rows.where(use).select("block_id").distinct().join(text.labels(spark, labels).withColumnRenamed("BlockId", "block_id"), "block_id", "left")
+    return out | blocks.agg(F.count(F.lit(1)).alias("blocks"), n(F.col("Label") == "Normal").alias("normal"), n(F.col("Label").isNull()).alias("unlabelled")).first().asDict()
+
+
 def train_sequence(spark: SparkSession, log: str, templates: str, labels: str, n: int = 2, out: str | None = None, max_lines: int | None = None, kind: str = "hdfs") -> ngram.SequenceModel:
     """A model of the n-grams of blocks that are labelled Normal, saved as JSON if out is given."""
     model = ngram.train(block_events(spark, log, templates, max_lines, kind), text.labels(spark, labels), n)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +30,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def lines(spark: SparkSession, path: str, keep_blank: bool = False, encoding: str = "utf-8", strict: bool = False) -> DataFrame:
     """raw, file, seq, id of the lines of text files; ".gz" is read as such.
 
-    Empty lines go, lines of white space stay. seq orders the lines of a file: it grows with a line's place in the
+    ids stand for a line's place in the scan, so they are the same for the same files and split size. Empty lines go,
+    lines of white space stay. seq orders the lines of a file: it grows with a line's place in the
     scan. Bytes that are no UTF-8 are read as U+FFFD; with strict they fail the job. A path that isn't there fails now.
     """
     if not _exists(spark, path):
@@ -51,11 +56,27 @@ def from_iterable(spark: SparkSession, items: Iterable[str]) -> DataFrame:
 
 
 def from_stdin(spark: SparkSession, stream=None, folder: str | None = None) -> DataFrame:
-    """Lines of standard input, spooled to a file (in folder, which a cluster must share); blank ones stay."""
-    with tempfile.NamedTemporaryFile("w", suffix=".log", dir=folder, delete=False, encoding="utf-8") as f:
-        for line in stream or sys.stdin:
-            f.write(line)
-    return lines(spark, f"file://{f.name}", keep_blank=True)
+    """Lines of standard input, spooled to a file that goes at the driver's end; blank ones stay.
+
+    The file is in folder, else in spark.checkpoint.dir, which a cluster shares; a local session without either uses a
+    temporary folder.
+    """
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("standard input needs spark.checkpoint.dir on a cluster")
+        folder = tempfile.mkdtemp(prefix="loomspark-stdin-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/stdin-{uuid.uuid4().hex}.log")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(path)
+    out = system.create(path)
+    try:
+        for part in iter(lambda it=iter(stream or sys.stdin): "".join(islice(it, 10_000)), ""):
+            out.write(bytearray(part.encode("utf-8")))
+    finally:
+        out.close()
+    return lines(spark, path.toString(), keep_blank=True)
 
 
 def cap(df: DataFrame, most: int, order=ORDER) -> DataFrame:

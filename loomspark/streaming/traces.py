@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loomspark.errors import ConfigurationError
 from loomspark.operators.sessionize import TERMINAL, traces, with_block
 from loomspark.schema import record_id
+from loomspark.sources.text import ORDER
 
 TRACE = "block_id string, chunk long, event_sequence array<string>, record_ids array<string>, first_timestamp timestamp, last_timestamp timestamp, record_count int, closed_reason string"
 
@@ -24,6 +26,18 @@ def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | No
     return out.where("raw <> ''").withColumn("id", record_id(F.col("file"), F.col("start"), F.col("raw")))
 
 
+def replay(spark: SparkSession, lines: DataFrame, rows_per_second: float, order: Sequence[str] = ORDER) -> DataFrame:
+    """A stream of given lines in their order, so many a second: ticks of Spark's rate source, each of which is a line.
+
+    Lines are numbered by one window over all, so this is for replaying a sample to something that listens.
+    """
+    if rows_per_second < 1:
+        raise ConfigurationError("a replay needs a rate of 1 line a second or more")
+    numbered = lines.withColumn("_tick", F.row_number().over(Window.orderBy(*order)) - 1)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", int(rows_per_second)).option("numPartitions", 1).load()
+    return ticks.select(F.col("value").alias("_tick")).join(numbered, "_tick").drop("_tick")
+
+
 class TraceProcessor(StatefulProcessor):
     """One open trace for each block; a micro-batch stands for a pass of the janitor.
 
