@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import parsing, templates
 from loomspark.operators import detect, evaluate, metrics, ngram, sessionize, store, validate
+from loomspark.schema import to_records
+from loomspark.sources import text
+from loomspark.streaming import traces as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -196,6 +199,36 @@ def rate_limit(spark, sf_dir):
     return out.select("event_no", F.col("reject_reason").isNotNull().alias("rejected"))
 
 
+@query(f"WITH {EV} SELECT CASE WHEN sev = 'INFO' THEN 'kept' ELSE 'severity ' || sev || ' not in allowlist' END AS lane, count(*) AS n FROM g GROUP BY 1")
+def reject_routing(spark, sf_dir):
+    """Rows that pass, and the quarantine with its reasons."""
+    kept, rejected = validate.route(validate.chain(good(spark, sf_dir), [validate.SchemaValidator(allowed_severities=["INFO"])]))
+    lanes = kept.select(F.lit("kept").alias("lane")).unionByName(rejected.select(F.col("reject_reason").alias("lane")))
+    return lanes.groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV} SELECT event_id AS event_no FROM g ORDER BY date_trunc('second', ts), event_id LIMIT 250")
+def line_cap(spark, sf_dir):
+    return text.cap(good(spark, sf_dir), 250, ORDER).select("event_no")
+
+
+# records
+
+
+@query(f"WITH {EV} SELECT 'run-7' AS pipeline_run_id, 'parse:hdfs>template_matcher' AS stages, sev AS severity, count(*) AS n FROM g GROUP BY 3")
+def record_history(spark, sf_dir):
+    rows = to_records(good(spark, sf_dir), "run-7", ("parse:hdfs", "template_matcher"))
+    return rows.groupBy("pipeline_run_id", F.array_join("stage_history", ">").alias("stages"), "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV} SELECT event_id::VARCHAR AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, sev AS severity, src AS source, msg AS message, event_id::VARCHAR AS pid, blk AS block_id, ev_id AS event, CASE WHEN event_type = 'signup' THEN 'unknown level: NOTICE' END AS warning FROM g")
+def record_projection(spark, sf_dir):
+    """Records as the read API has them: typed columns, and the open maps."""
+    rows = to_records(good(spark, sf_dir))
+    own = lambda bag, key: F.col(bag)[key]
+    return rows.select("id", _text(F.col("timestamp")).alias("at"), "severity", "source", "message", own("raw_payload", "pid").alias("pid"), own("enrichment", "block_id").alias("block_id"), own("enrichment", "event_id").alias("event"), own("enrichment", "parse_warning").alias("warning"))
+
+
 # templates
 
 
@@ -238,16 +271,27 @@ def trace_records(spark, sf_dir):
     return sessionize.trace_records(sessionize.traces(rows, ORDER, None, janitor="none"), rows.select("id", "event_no")).select("block_id", "event_no", "position")
 
 
+@query(f"WITH {EV}, o AS (SELECT blk, date_trunc('second', ts) AS t, CASE WHEN date_trunc('second', ts) - lag(date_trunc('second', ts)) OVER (PARTITION BY blk ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM g), s AS (SELECT blk, t, sum(new) OVER (PARTITION BY blk ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT * FROM o ORDER BY t)) SELECT block_id, strftime(first, '%Y-%m-%d %H:%M:%S') AS start, strftime(last + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS end_, records FROM (SELECT blk AS block_id, min(t) AS first, max(t) AS last, count(*) AS records FROM s GROUP BY blk, k)")
+def session_windows(spark, sf_dir):
+    out = streaming.stream_sessions(good(spark, sf_dir), "6 hours")
+    return out.select("block_id", _text(F.col("start")).alias("start"), _text(F.col("end")).alias("end_"), "records")
+
+
+@query(f"WITH {EV} SELECT strftime(time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS bin, sev AS severity, count(*) AS n FROM g GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    return streaming.stream_rates(good(spark, sf_dir), "3 hours", by=["severity"]).select(_text(F.col("bin")).alias("bin"), "severity", "n")
+
+
 # n-gram model
 
 
 def _labelled(spark, sf_dir):
     traces = sessionize.traces(good(spark, sf_dir), ORDER, None, janitor="none")
-    labels = _read(spark, sf_dir, "events").select(F.col("user_id"), F.concat(F.lit("blk_"), F.when(F.col("user_id") % 2 == 1, -F.col("user_id")).otherwise(F.col("user_id")).cast("string")).alias("BlockId"), F.when(F.col("user_id") % 3 == 0, "Normal").otherwise("Anomaly").alias("Label")).where("user_id % 10 <> 9").distinct()
+    labels = _read(spark, sf_dir, "events").select(F.col("user_id"), F.concat(F.lit("blk_"), F.when(F.col("user_id") % 2 == 1, -F.col("user_id")).otherwise(F.col("user_id")).cast("string")).alias("BlockId"), F.when(F.col("user_id") % 3 == 0, "Normal").otherwise("Anomaly").alias("Label")).distinct()
     return ngram.labelled(traces, labels)
 
 
-GRAMS = f"WITH {EV}, s AS (SELECT blk, user_id, ev_id, event_id, row_number() OVER (PARTITION BY blk ORDER BY date_trunc('second', ts), event_id) AS rn FROM g WHERE ev_id IS NOT NULL), b AS (SELECT blk, user_id, ev_id || ' ' || lead(ev_id) OVER w || ' ' || lead(ev_id, 2) OVER w || ' ' || lead(ev_id, 3) OVER w AS gram FROM s WINDOW w AS (PARTITION BY blk ORDER BY rn)), d AS (SELECT DISTINCT blk, user_id, gram FROM b WHERE gram IS NOT NULL AND user_id % 10 <> 9), m AS (SELECT DISTINCT gram FROM d WHERE user_id % 3 = 0)"
+GRAMS = f"WITH {EV}, s AS (SELECT blk, user_id, ev_id, event_id, row_number() OVER (PARTITION BY blk ORDER BY date_trunc('second', ts), event_id) AS rn FROM g WHERE ev_id IS NOT NULL), b AS (SELECT blk, user_id, ev_id || ' ' || lead(ev_id) OVER w || ' ' || lead(ev_id, 2) OVER w || ' ' || lead(ev_id, 3) OVER w AS gram FROM s WINDOW w AS (PARTITION BY blk ORDER BY rn)), d AS (SELECT DISTINCT blk, user_id, gram FROM b WHERE gram IS NOT NULL), m AS (SELECT DISTINCT gram FROM d WHERE user_id % 3 = 0)"
 N = 4
 
 
@@ -256,7 +300,7 @@ def ngram_train(spark, sf_dir):
     return ngram.normal_ngrams(_labelled(spark, sf_dir), N).select(F.array_join("gram", " ").alias("gram"))
 
 
-@query(f"WITH {EV} SELECT DISTINCT ev_id AS event FROM g WHERE ev_id IS NOT NULL AND user_id % 10 <> 9")
+@query(f"WITH {EV} SELECT DISTINCT ev_id AS event FROM g WHERE ev_id IS NOT NULL")
 def ngram_vocab(spark, sf_dir):
     return ngram.vocabulary(_labelled(spark, sf_dir))
 
@@ -274,11 +318,30 @@ def ngram_score(spark, sf_dir):
     return _scored(spark, sf_dir).where("observed_count > 0").select("block_id", "observed_count", "novel_count", F.round("ratio", 6).alias("ratio"), "fired")
 
 
-@query(SCORED + ", u AS (SELECT DISTINCT blk, user_id FROM g WHERE user_id % 10 <> 9), p AS (SELECT u.user_id % 3 <> 0 AS a, coalesce(novel / seen > 0.1, false) AS p FROM u LEFT JOIN x USING (blk)), c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (a AND NOT p) AS fn, count(*) FILTER (NOT a AND NOT p) AS tn FROM p), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0)::DOUBLE AS pr, coalesce(tp / nullif(tp + fn, 0), 0.0)::DOUBLE AS re FROM c) SELECT tp, fp, fn, tn, round(pr, 4) AS precision, round(re, 4) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 4)::DOUBLE AS f1 FROM r")
+@query(SCORED + ", u AS (SELECT DISTINCT blk, user_id FROM g), p AS (SELECT u.user_id % 3 <> 0 AS a, coalesce(novel / seen > 0.1, false) AS p FROM u LEFT JOIN x USING (blk)), c AS (SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (a AND NOT p) AS fn, count(*) FILTER (NOT a AND NOT p) AS tn FROM p), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0)::DOUBLE AS pr, coalesce(tp / nullif(tp + fn, 0), 0.0)::DOUBLE AS re FROM c) SELECT tp, fp, fn, tn, round(pr, 4) AS precision, round(re, 4) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 4)::DOUBLE AS f1 FROM r")
 def ngram_confusion(spark, sf_dir):
     return evaluate.confusion(_scored(spark, sf_dir), "fired", F.col("label") == "Anomaly")
 
 
+#: As GRAMS, of six events.
+LONG_GRAMS = GRAMS.replace("lead(ev_id, 3) OVER w AS gram", "lead(ev_id, 3) OVER w || ' ' || lead(ev_id, 4) OVER w || ' ' || lead(ev_id, 5) OVER w AS gram")
+
+
+@query(LONG_GRAMS + ", n AS (SELECT d.blk, d.gram FROM d LEFT JOIN m USING (gram) WHERE m.gram IS NULL) SELECT blk AS block_id, array_to_string(list_sort(list(gram))[1:20], ',') AS novel FROM n GROUP BY 1")
+def ngram_novel_sorted(spark, sf_dir):
+    """The novel n-grams of a block, sorted, the first 20."""
+    traces = _labelled(spark, sf_dir)
+    out = ngram.score(traces, ngram.normal_ngrams(traces, 6), 0.1, 6).where("novel_count > 0")
+    return out.select("block_id", F.array_join(F.transform("novel_ngrams", lambda g: F.array_join(g, " ")), ",").alias("novel"))
+
+
+@query(f"WITH {EV}, u AS (SELECT DISTINCT blk, user_id FROM g), p AS (SELECT DISTINCT blk FROM g WHERE sev = 'ERROR'), c AS (SELECT count(*) FILTER (p.blk IS NOT NULL AND user_id % 3 <> 0) AS tp, count(*) FILTER (p.blk IS NOT NULL AND user_id % 3 = 0) AS fp, count(*) FILTER (p.blk IS NULL AND user_id % 3 <> 0) AS fn, count(*) FILTER (p.blk IS NULL AND user_id % 3 = 0) AS tn FROM u LEFT JOIN p USING (blk)), r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0)::DOUBLE AS pr, coalesce(tp / nullif(tp + fn, 0), 0.0)::DOUBLE AS re FROM c) SELECT tp, fp, fn, tn, round(pr, 4) AS precision, round(re, 4) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0.0), 4)::DOUBLE AS f1 FROM r")
+def confusion_of_sets(spark, sf_dir):
+    """Blocks, those with an error line, and those labelled: their union, intersections and differences counted."""
+    rows = good(spark, sf_dir).select("block_id", "severity")
+    return evaluate.confusion_from_sets(rows, rows.where("severity = 'ERROR'"), _labelled(spark, sf_dir).where("label = 'Anomaly'"), "block_id")
+
+
 @query("WITH w AS (SELECT doc_id, toxic, string_split(text, ' ') AS ws FROM documents JOIN labels USING (doc_id)), b AS (SELECT DISTINCT doc_id, toxic, ws[i] || ' ' || ws[i + 1] AS gram FROM (SELECT doc_id, toxic, ws, unnest(range(1, len(ws))) AS i FROM w)), m AS (SELECT DISTINCT gram FROM b WHERE toxic = 0) SELECT doc_id, count(*) AS observed_count, count(*) FILTER (m.gram IS NULL) AS novel_count FROM b LEFT JOIN m USING (gram) WHERE toxic = 1 GROUP BY 1")
 def ngram_documents(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.split("text", " ").alias("event_sequence"), F.when(F.col("toxic") == 0, "Normal").otherwise("Anomaly").alias("label"))
@@ -335,6 +398,19 @@ def zscore_value(spark, sf_dir):
     return detect.ZScore(window_size=200, min_samples=50).fired(_series(spark, sf_dir), ORDER).select("event_no", F.round("score", 6).alias("score"))
 
 
+@query("WITH v AS (SELECT event_id AS event_no, ts, value AS x FROM events), " + _z_sql("v", "event_no", "ts, event_no"))
+def zscore_value_in_runs(spark, sf_dir):
+    """As zscore_value, with the one series cut into runs that are tasks of their own."""
+    return detect.ZScore(window_size=200, min_samples=50, chunk_rows=2000).fired(_series(spark, sf_dir), ORDER).select("event_no", F.round("score", 6).alias("score"))
+
+
+@query("WITH v AS (SELECT event_id AS event_no, ts, value AS x FROM events WHERE event_type <> 'view'), " + _z_sql("v", "event_no", "ts, event_no"))
+def numeric_guard(spark, sf_dir):
+    """Rows without a number are in no window; the metric is read from the raw payload."""
+    rows = _series(spark, sf_dir).withColumn("raw_payload", F.create_map(F.lit("ms"), F.when(F.col("event_type") == "view", "n/a").otherwise(F.col("metric").cast("string")))).drop("metric")
+    return detect.ZScore("ms", window_size=200, min_samples=50, source_dict="raw_payload").fired(rows, ORDER).select("event_no", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {HOURLY}, k AS (SELECT strftime(bin, '%Y-%m-%d %H:%M:%S') AS id, x FROM h), " + _z_sql("k", "id", "id"))
 def zscore_hourly(spark, sf_dir):
     return detect.ZScore(window_size=200, min_samples=50).fired(_hourly(spark, sf_dir), ["timestamp"]).select("id", F.round("score", 6).alias("score"))
@@ -418,7 +494,7 @@ def anomalies_topn(spark, sf_dir):
     return store.list_anomalies(_anomalies(spark, sf_dir), "z_score", 20).select("log_record_id", F.round("severity_score", 6).alias("score"))
 
 
-@query(f"WITH {EV}, t AS (SELECT blk, user_id, count(*) AS n FROM g GROUP BY 1, 2) SELECT CASE WHEN user_id % 3 = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, count(*) AS blocks, sum(n)::BIGINT AS records FROM t WHERE user_id % 10 <> 9 GROUP BY 1")
+@query(f"WITH {EV}, t AS (SELECT blk, user_id, count(*) AS n FROM g GROUP BY 1, 2) SELECT CASE WHEN user_id % 3 = 0 THEN 'Normal' ELSE 'Anomaly' END AS label, count(*) AS blocks, sum(n)::BIGINT AS records FROM t GROUP BY 1")
 def label_join(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("blocks"), F.sum("record_count").cast("long").alias("records"))
 

@@ -96,14 +96,14 @@ class RateLimitValidator:
         return ordered.mapInPandas(run, schema)
 
 
-def chain(df: DataFrame, validators: Sequence, order: Sequence[str] = (), reason: str = "reject_reason") -> DataFrame:
-    """df with the reason of the first validator that rejects a row, null if none does.
+def chain(df: DataFrame, validators: Sequence, order: Sequence[str] = (), reason: str = "reject_reason", known: Column | None = None) -> DataFrame:
+    """df with the reason of the first validator that rejects a row, null if none does; known: a reason from before.
 
     Later validators aren't asked about a row that is rejected; so it takes no token of a rate limit either.
     """
     if not validators:
         raise ValueError("a validation chain needs at least one validator")
-    df = df.withColumn(reason, F.lit(None).cast("string"))
+    df = df.withColumn(reason, F.lit(None).cast("string") if known is None else known)
     for v in validators:
         df = v.apply(df, order, reason=reason) if isinstance(v, RateLimitValidator) else df.withColumn(reason, F.coalesce(reason, v.reason()))
     return df

@@ -64,16 +64,14 @@ def build(spark: SparkSession, config: PipelineConfig, lines=None, run_id: str |
     run_id = run_id or str(uuid.uuid4())
     parsed = parse(source_lines(spark, config, lines), config.parser.kind)
     stages = [f"parse:{config.parser.kind}"]
-    reason = F.col("parse_error")
-    rows = parsed.where(reason.isNull()).withColumn("reject_reason", F.lit(None).cast("string"))
+    rows = parsed.withColumn("reject_reason", F.col("parse_error"))
     if config.validation:
         checks = [validate.build(v.kind, **v.options) for v in config.validation]
-        rows = validate.chain(rows, checks, ORDER)
+        rows = validate.chain(rows, checks, ORDER, known=F.col("parse_error"))
         stages.append(validate.chain_name(checks))
     if config.template_matcher.enabled:
         rows = classify(rows, text.templates(spark, config.template_matcher.templates_path))
         stages.append("template_matcher")
-    rows = rows.unionByName(parsed.where(reason.isNotNull()).withColumn("reject_reason", reason), allowMissingColumns=True)
     if keep:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     good = rows.where("reject_reason is null").drop("reject_reason")

@@ -355,6 +355,11 @@ def test_events_and_wrappers(spark):
         calls.clear()
         events.with_retry(flaky, 1, sleep=waits.append)(df)
     m = metrics.MetricsRegistry()
+    count = events.MetricsListener(m)
+    count(events.TracesClosed(spark.createDataFrame([("timeout",), ("timeout",), ("evicted",)], "closed_reason string")))
+    count(events.AnomaliesPublished(spark.createDataFrame([("iqr",)], "detector_name string")))
+    assert m.snapshot()["counters"] == {"event.TracesClosed": 1, "event.AnomaliesPublished": 1, "traces.closed.timeout": 2, "traces.closed.evicted": 1, "anomalies.iqr": 1}
+    m.reset()
     with pytest.raises(RuntimeError):
         events.with_timing(events.with_logging(broken, "s"), "s", m)(df)
     assert m.snapshot()["counters"] == {"stage.s.invocations": 1}

@@ -173,3 +173,109 @@ def test_train_and_evaluate(spark, tmp_path, capsys, monkeypatch):
 def test_knobs_without_a_counterpart_are_accepted():
     c = config.parse_config({"source": {"kind": "iterable"}, "runtime": {"num_workers": 8, "queue_size": 10, "batch_size": 5, "flush_interval_s": 0.5}, "sessionizer": {"max_open_traces": 9, "flush_interval_s": 5.0}})
     assert c.runtime.num_workers == 8 and c.sessionizer.max_open_traces == 9
+
+
+def _lines(n=12):
+    return [f"081109 2000{i:02d} 1 INFO a: E{1 + i % 3} blk_{i % 4}" for i in range(n)] + ["junk"]
+
+
+def test_a_run_parses_once(spark, tmp_path, monkeypatch):
+    """All outputs of a run come from rows that were parsed once; the registry counts detectors and reasons."""
+    from loomspark.operators.metrics import MetricsRegistry
+
+    registry = MetricsRegistry()
+    monkeypatch.setattr(pipeline, "default_registry", registry)
+    lines = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for pdf in batches:
+            lines.add(len(pdf))
+            yield pdf
+
+    from loomspark.sources import text
+
+    rows = text.from_iterable(spark, _lines())
+    c = config.parse_config({"source": {"kind": "iterable"}, "sessionizer": {"enabled": True, "max_records_per_trace": 2}, "detectors": [{"kind": "z_score", "window_size": 5, "min_samples": 2}], "template_matcher": {"enabled": False}, "repository": {"kind": "parquet", "path": str(tmp_path / "out")}})
+    result, store = pipeline.run(spark, c, rows.mapInPandas(seen, rows.schema))
+    assert lines.value == 13 and (result.records_processed, result.records_failed) == (12, 1)
+    counters = registry.snapshot()["counters"]
+    assert sum(v for k, v in counters.items() if k.startswith("traces.closed.")) == counters["traces.closed"] == result.traces_closed == store.all_traces().count() == 4
+    assert set(store.all_traces().toPandas()["closed_reason"]) == {k.removeprefix("traces.closed.") for k in counters if k.startswith("traces.closed.")}
+
+
+def test_failed_saves_count_as_failed(spark):
+    from loomspark.errors import RepositoryError
+
+    class Broken(LogStore):
+        def save_batch(self, records):
+            raise RepositoryError("no")
+
+    result, _ = pipeline.run(spark, config.parse_config({"source": {"kind": "iterable"}}), _lines(), store=Broken(spark))
+    assert (result.records_processed, result.records_failed) == (0, 13)
+
+
+def test_open_traces_are_bounded_in_a_plan(spark):
+    """With more blocks than may be open, the one that was longest without a row is put out."""
+    lines = [f"081109 2000{i:02d} 1 INFO a: x blk_{b}" for i, b in enumerate((1, 2, 1, 3, 2))]
+    base = {"source": {"kind": "iterable"}}
+    got = {}
+    for most in (2, 3):
+        plan = pipeline.build(spark, config.parse_config(base | {"sessionizer": {"enabled": True, "max_open_traces": most}}), lines)
+        got[most] = sorted((r["block_id"], r["chunk"], r["record_count"], r["closed_reason"]) for r in plan.traces.collect())
+    assert got[2] == [("blk_1", 0, 2, "evicted"), ("blk_2", 0, 1, "evicted"), ("blk_2", 1, 1, "shutdown"), ("blk_3", 0, 1, "shutdown")]
+    assert got[3] == [("blk_1", 0, 2, "shutdown"), ("blk_2", 0, 2, "shutdown"), ("blk_3", 0, 1, "shutdown")]
+
+
+def test_metrics_by_detector(spark):
+    """Each detector reads its own metric, from the bag that its source_dict names."""
+    from loomspark.operators.detect import Cusum, Iqr, ZScore
+
+    lines = [f"081109 {h:02d}{m:02d}00 1 INFO a: value {500 if (h, m) == (3, 30) else (h + m) % 7}" for h in range(4) for m in range(60)]
+    c = config.parse_config({"source": {"kind": "iterable"}, "detectors": [{"kind": "z_score", "window_size": 50, "metric_key": "a"}, {"kind": "iqr", "metric_key": "b"}]})
+    number = F.regexp_extract("message", r"(\d+)$", 1).cast("double")
+    found = lambda metric: {r["detector_name"] for r in pipeline.build(spark, c, lines, metric=metric).anomalies.collect()}
+    assert found({"a": number}) == {"z_score"} and found({"a": number, "b": number}) == {"z_score", "iqr"} and found(None) == set()
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.col("id").alias("seq"), F.create_map(F.lit("ms"), F.when(F.col("id") == 50, "900").otherwise((F.col("id") % 5).cast("string"))).alias("raw_payload"))
+    for cls in (ZScore, Iqr, Cusum):
+        assert cls("ms", source_dict="raw_payload").fired(rows, ["seq"]).count() >= 1 and cls("ms").fired(rows, ["seq"]).count() == 0
+        with pytest.raises(ValueError):
+            cls(source_dict="message")
+    with pytest.raises(ConfigurationError):
+        pipeline.build(spark, config.parse_config({"source": {"kind": "iterable"}, "detectors": [{"kind": "cusum", "source_dict": "x"}]}), lines)
+
+
+def test_replay_at_a_rate(spark, tmp_path):
+    import time
+
+    from loomspark.sources import text
+
+    with pytest.raises(ConfigurationError):
+        pipeline.build(spark, config.parse_config({"source": {"kind": "iterable", "throttle_rps": 5.0}}), ["x"])
+    with pytest.raises(ConfigurationError):
+        streaming.replay(spark, text.from_iterable(spark, ["x"]), 0.5)
+    got, began = [], time.time()
+    q = streaming.run_batches(streaming.replay(spark, text.from_iterable(spark, [f"line {i}" for i in range(12)]), 4), str(tmp_path / "ck"), lambda df, i: got.extend(r["raw"] for r in df.orderBy("seq").collect()))
+    while len(got) < 12 and time.time() - began < 60:
+        time.sleep(0.2)
+    q.stop()
+    assert got[:12] == [f"line {i}" for i in range(12)] and time.time() - began >= 2
+
+
+def test_stdin_is_spooled_to_the_shared_folder(spark, tmp_path, monkeypatch):
+    import io
+
+    from loomspark.sources import text
+
+    out = text.from_stdin(spark, io.StringIO("a\n\nb é\n"), str(tmp_path))
+    assert [r["raw"] for r in out.orderBy("seq").collect()] == ["a", "", "b é"] and len(list(tmp_path.glob("stdin-*.log"))) == 1
+    assert text.from_stdin(spark, io.StringIO("")).count() == 0
+
+
+def test_training_counts(spark, tmp_path):
+    from loomspark.plans import evaluation
+
+    (tmp_path / "a.log").write_text("".join(f"081109 200000 1 INFO a: {m}\n" for m in ("x blk_1", "x blk_2", "y blk_1", "x")) + "junk\n")
+    (tmp_path / "t.csv").write_text("EventId,EventTemplate\nE1,x<*>\n")
+    (tmp_path / "l.csv").write_text("BlockId,Label\nblk_1,Normal\n")
+    got = evaluation.training_counts(spark, *(str(tmp_path / f) for f in ("a.log", "t.csv", "l.csv")))
+    assert got == {"parsed": 4, "matched": 2, "skipped": 2, "blocks": 2, "normal": 1, "unlabelled": 1}
