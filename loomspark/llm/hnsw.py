@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import written
+from loomspark.llm._common import dropped, written
 
-#: Vectors in a shard, links of a node (twice as many on the ground level), breadth of building and of searching.
-SHARD = 6000
+#: Least vectors in a shard of a larger table, and bytes of vectors that a shard holds at most (65,536 of 64 components).
+SHARD, SHARD_BYTES = 6000, 1 << 25
+#: Links of a node (twice as many on the ground level), breadth of building, and of searching a shard of SHARD vectors.
 LINKS = 16
 BUILD, SEARCH = 80, 160
-#: Queries that are searched together, and queries of one task.
+#: Queries that are searched together, and least queries of one task.
 TOGETHER, BLOCK = 256, 1024
+#: The router: most cells, vectors and bytes of the sample it is fitted on, queries it is measured with, its recall, and
+#: the share of cells a query may visit; where more are needed, the table has one cell.
+CELLS, SAMPLE, SAMPLE_BYTES, PROBED, ROUTED, WORTH = 1024, 16_384, 1 << 25, 400, 0.98, 0.7
 QUERY_STEP = 20
 NEAREST = 20
 
@@ -178,9 +182,12 @@ class Graph:
         by = np.argsort(-near, axis=1)
         return np.take_along_axis(ids, by, 1), np.take_along_axis(near, by, 1)
 
-    def search(self, q, breadth: int = SEARCH):
+    def search(self, q, breadth: int | None = None):
+        """The nearest nodes found to each query, nearest first; larger graphs are searched more broadly."""
         import numpy as np
 
+        breadth = breadth or max(SEARCH, int(SEARCH * (len(self.x) / SHARD) ** 0.4))
+
         q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
         at = np.full(len(q), self.entry)
         for k in range(len(self.links) - 1, 0, -1):
@@ -188,19 +195,118 @@ class Graph:
         return self._search(q, at[:, None], 0, breadth)[0]
 
 
-def index(vectors: DataFrame, shard: int = SHARD, nearest: int = NEAREST) -> DataFrame:
-    """The index, written: a row for each shard with flat arrays: members, vectors, levels, links, entry.
+class Router:
+    """Cells of directions: every vector is in the cell of its nearest centre, a query visits the `visits` nearest."""
+
+    def __init__(self, centres, visits: int):
+        self.centres, self.visits = centres, visits
+
+    @classmethod
+    def fit(cls, x, cells: int, nearest: int = NEAREST):
+        """Centres of one half of x; visits: as few as find ROUTED of the neighbours within the other half.
+
+        Neighbours within a sample are farther than those in the table, so the table's recall is rather higher. None
+        if that takes more than WORTH of the cells: neighbours lie in all directions then, and cells are of no use.
+        """
+        import numpy as np
+
+        own, other = x[::2], x[1::2]
+        unit = own / np.linalg.norm(own, axis=1)[:, None]
+        cells = min(cells, len(own) // 8)
+        if cells < 2 or len(other) < 2:
+            return None
+        self = cls(unit[:cells].copy(), cells)
+        for _ in range(8):
+            at = self.order(unit, 1)[:, 0]
+            total = np.zeros_like(self.centres)
+            np.add.at(total, at, unit)
+            norm = np.linalg.norm(total, axis=1)[:, None]
+            self.centres = np.where(norm > 0, total / np.where(norm > 0, norm, 1), self.centres)
+        asked = other[:PROBED]
+        product = asked @ other.T
+        np.fill_diagonal(product, -np.inf)
+        near = np.argsort(-product, axis=1)[:, : min(nearest, len(other) - 1)]
+        place = np.argsort(self.order(asked, cells), axis=1)
+        visit = np.sort(np.take_along_axis(place, self.order(other, 1)[:, 0][near], 1).ravel())
+        self.visits = int(visit[min(len(visit) - 1, math.ceil(ROUTED * len(visit)))]) + 1
+        return self if self.visits <= WORTH * cells else None
+
+    def order(self, x, most: int):
+        """The nearest cells of each vector, nearest first."""
+        import numpy as np
+
+        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, :most]
+
+
+def shard_size(n: int, dims: int) -> int:
+    """Vectors in a shard of a table of n: as a root of n, since larger shards make fewer visits of dearer graphs."""
+    return max(1, min(max(SHARD, math.isqrt(SHARD * n)), SHARD_BYTES // (8 * max(1, dims))))
+
+
+def fit_routers(nodes: DataFrame, counts: dict[int, int], shard: int | None, nearest: int = NEAREST) -> dict[int, Router]:
+    """A router for each dimension with more than one shard, where it is of use; fitted on a bounded sample by hash."""
+    import numpy as np
+
+    out = {}
+    for dims, n in counts.items():
+        cells = min(CELLS, math.ceil(n / (shard or shard_size(n, dims))))
+        if cells > 1:
+            most = max(32, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))
+            key = F.xxhash64("embedding", F.lit("router"))
+            share = min(1.0, 2 * most / n)  # twice what is wanted, so that the sort is of a bounded sample too
+            kept = nodes.where((F.col("dims") == dims) & (F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))))
+            rows = kept.select("embedding").orderBy(key).limit(most).collect()
+            if fitted := Router.fit(np.array([r[0] for r in rows], np.float64).reshape(-1, dims), cells, nearest):
+                out[dims] = fitted
+    return out
+
+
+def celled(df: DataFrame, routers: dict[int, Router], visits: bool) -> DataFrame:
+    """df, of rows with dims and embedding, with cells: its own, or those that it visits; [0] where there is no router."""
+    if not routers:
+        return df.withColumn("cells", F.array(F.lit(0)))
+    plain = {d: (r.centres, r.visits) for d, r in routers.items()}
+
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            cells = np.empty(len(pdf), object)
+            dims = pdf["dims"].to_numpy()
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                if int(d) not in plain:
+                    for i in rows:
+                        cells[i] = [0]
+                    continue
+                centres, most = plain[int(d)]
+                found = Router(centres, most).order(np.array(pdf["embedding"].iloc[rows].tolist(), np.float64), most if visits else 1)
+                for i, f in zip(rows, found, strict=True):
+                    cells[i] = f
+            yield pdf.assign(cells=cells)
+
+    return df.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "cells array<int>"]))
+
+
+def index(vectors: DataFrame, shard: int | None = None, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame, dict[int, Router]]:
+    """The index, written: a row for each shard with flat arrays (members, vectors, levels, links, entry); its cells
+    (dims, cell, pieces); its routers.
 
     Equal vectors are one node with the smallest vec_ids that an answer may hold (nearest, and one for the query
-    itself). Shards are dealt by a hash of the vector, so each holds about as many nodes; every vector is in one.
+    itself). A cell with more nodes than a shard holds is cut into pieces by a hash of the vector, so a crowded cell
+    is no larger task than any; every vector is in one shard.
     """
-    import math
-
     # the smallest ids of equal vectors: Spark limits a ranked window before its shuffle, so copies don't gather
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     nodes = vectors.distinct().withColumn("_rank", rank).where(F.col("_rank") <= nearest + 1)
-    nodes = written(nodes.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "ann-nodes")
-    shards = max(1, math.ceil(nodes.count() / shard))
+    nodes = nodes.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    nodes = written(nodes.withColumn("dims", F.size("embedding")), "ann-nodes")
+    # only dimensions with more than one shard are told to the driver: no more of them than there are shards
+    size = F.lit(shard) if shard else F.least(F.greatest(F.lit(SHARD), F.floor(F.sqrt(F.lit(SHARD) * F.col("n")))), F.floor(F.lit(SHARD_BYTES) / (F.col("dims") * 8)))
+    sizes = nodes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.greatest(size, F.lit(1)).cast("long"))
+    sizes = written(sizes, "ann-sizes")
+    large = {r.dims: r.n for r in sizes.where("n > size").collect()}
+    routed = fit_routers(nodes, large, shard, nearest)
 
     def build(pdf):
         import numpy as np
@@ -211,36 +317,54 @@ def index(vectors: DataFrame, shard: int = SHARD, nearest: int = NEAREST) -> Dat
         g = Graph.build(x)
         members = pdf["ids"].tolist()
         flat = np.concatenate([np.asarray(m, np.int64) for m in members])
-        return pd.DataFrame({"shard": [int(pdf["shard"].iat[0])], "dims": [x.shape[1]], "entry": [g.entry], "ids": [flat.tobytes()], "counts": [np.array([len(m) for m in members], np.int32).tobytes()], "vectors": [x.tobytes()], "levels": [g.levels.tobytes()], "links": [[k.tobytes() for k in g.links]]})
+        return pd.DataFrame({"dims": [x.shape[1]], "cell": [int(pdf["cell"].iat[0])], "piece": [int(pdf["piece"].iat[0])], "entry": [g.entry], "ids": [flat.tobytes()], "counts": [np.array([len(m) for m in members], np.int32).tobytes()], "vectors": [x.tobytes()], "levels": [g.levels.tobytes()], "links": [[k.tobytes() for k in g.links]]})
 
-    of = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")).withColumn("dims", F.size("embedding"))
-    return written(of.groupBy("shard", "dims").applyInPandas(build, "shard int, dims int, entry int, ids binary, counts binary, vectors binary, levels binary, links array<binary>"), "ann-index")
+    of = celled(nodes, routed, visits=False).withColumn("cell", F.col("cells")[0]).drop("cells")
+    if routed:
+        of = written(of, "ann-celled")
+        dropped(nodes)
+    dealt = of if routed else nodes
+    cells = of.groupBy("dims", "cell").agg(F.count(F.lit(1)).alias("held")).join(sizes.select("dims", "size"), "dims")
+    cells = written(cells.select("dims", "cell", F.ceil(F.col("held") / F.col("size")).cast("int").alias("pieces")), "ann-cells")
+    of = of.join(small(cells), ["dims", "cell"]).withColumn("piece", F.pmod(F.xxhash64("embedding"), F.col("pieces")).cast("int")).drop("pieces")
+    schema = "dims int, cell int, piece int, entry int, ids binary, counts binary, vectors binary, levels binary, links array<binary>"
+    table = written(of.groupBy("dims", "cell", "piece").applyInPandas(build, schema), "ann-index")
+    dropped(dealt)
+    return table, cells, routed
 
 
-def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard: int = SHARD) -> DataFrame:
+def small(cells: DataFrame) -> DataFrame:
+    """The table of cells to join with: at most CELLS rows for a dimension, broadcast unless there are very many dimensions."""
+    return F.broadcast(cells) if cells.count() < 100_000 else cells
+
+
+def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the nearest vectors found to each of queries, itself left out.
 
     Both hold vec_id and embedding. Nearness is the inner product in double precision of the vectors as they are; ties
-    go to the smaller vec_id. Each query meets each shard's graph, in blocks of queries. Vectors that are null, zero
+    go to the smaller vec_id. Shards hold `shard` vectors, by default a number that grows with the table; each query
+    meets the graphs of the cells that the router names, in blocks of queries. Vectors that are null, zero
     or have null or non-finite components take no part; a vec_id that is repeated with the same vector counts once,
     with other vectors it is found by its best. A dimension of its own has its own graphs. No rows give no rows;
     other columns aren't read.
     """
-    import math
-
     spark = vectors.sparkSession
-    table = index(usable(vectors), shard, nearest)
-    asked = written(usable(queries).withColumnsRenamed({"vec_id": "query_id"}).distinct(), "ann-queries")
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("dims", F.size("embedding"))
-    shards = table.select("shard", "dims")
-    met = asked.join(F.broadcast(shards) if shards.count() < 100_000 else shards, "dims")
+    table, cells, routed = index(usable(vectors), shard, nearest)
+    asked = usable(queries).withColumnsRenamed({"vec_id": "query_id"}).distinct().withColumn("dims", F.size("embedding"))
+    asked = written(celled(asked, routed, visits=True), "ann-queries")
+    visits = asked.select("dims", F.explode("cells").alias("cell"))
+    # a task per shard and block of its queries; blocks are as large as shards where there are enough tasks without
+    tasks = visits.join(small(cells), ["dims", "cell"]).agg(F.sum("pieces")).first()[0] or 0
+    block = min(shard or SHARD_BYTES // 512, max(BLOCK, tasks // (4 * spark.sparkContext.defaultParallelism)))
+    blocks = visits.groupBy("dims", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    cells = written(cells.join(blocks, ["dims", "cell"]), "ann-blocks")
+    met = asked.select("query_id", "embedding", "dims", F.explode("cells").alias("cell")).join(small(cells), ["dims", "cell"])
+    met = met.withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
 
     def find(key, left, right):
         import numpy as np
         import pandas as pd
 
-        columns = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         row = right.iloc[0]
@@ -253,23 +377,30 @@ def search(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, shard
         out = []
         for i in range(0, len(left), TOGETHER):
             part = left.iloc[i : i + TOGETHER]
+            asked = part["query_id"].to_numpy()
             q = np.array(part["embedding"].tolist(), np.float64)
-            for query, v, found in zip(part["query_id"].to_numpy(), q, g.search(q), strict=True):
-                found = found[found >= 0]
-                score = np.zeros(len(found))
-                for d in range(len(v)):  # in the order of components, as a plain sum has it
-                    score += x[found, d] * v[d]
-                vec = np.concatenate([ids[start[f] : start[f] + count[f]] for f in found])
-                score = np.repeat(score, count[found])
-                use = vec != query
-                vec, score = vec[use], score[use]
-                by = np.lexsort((vec, -score))[:nearest]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": vec[by], "score": score[by]}))
-        return pd.concat(out)[columns]
-
-    copies = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.select("query_id", "embedding", *(F.col(c).alias(f"to_{c}") for c in ("shard", "dims", "block")))
-    found = met.groupBy("to_shard", "to_dims", "to_block").cogroup(copies.groupBy("shard", "dims", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+            found = g.search(q)
+            who, place = np.nonzero(found >= 0)
+            node = found[who, place]
+            score = np.zeros(len(node))
+            for d in range(q.shape[1]):  # in the order of components, as a plain sum has it
+                score += x[node, d] * q[who, d]
+            # each node stands for the ids of its copies
+            held = count[node]
+            vec = ids[np.repeat(start[node] - (np.cumsum(held) - held), held) + np.arange(held.sum())]
+            who, score = np.repeat(who, held), np.repeat(score, held)
+            use = vec != asked[who]
+            who, vec, score = who[use], vec[use], score[use]
+            by = np.lexsort((vec, -score, who))
+            who, vec, score = who[by], vec[by], score[by]
+            use = np.arange(len(who)) - np.searchsorted(who, who) < nearest
+            out.append(pd.DataFrame({"query_id": asked[who[use]], "vec_id": vec[use], "score": score[use]}))
+        return pd.concat(out)
+
+    copies = table.join(small(cells), ["dims", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("pieces", "blocks")
+    key = ["dims", "cell", "piece", "block"]
+    met = met.select("query_id", "embedding", *(F.col(c).alias(f"to_{c}") for c in key))
+    found = met.groupBy(*(f"to_{c}" for c in key)).cogroup(copies.groupBy(*key)).applyInPandas(find, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -349,6 +349,36 @@ def test_nearest_neighbours(spark, shard):
     assert hnsw.search(df.where("false"), df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [700, None])
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_nearest_neighbours_of_routed_cells(spark, clusters, shard):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(14_000, 24))
+    if clusters:  # two thirds of the rows are in one cluster, which is more than a shard
+        of = np.where(rng.random(len(x)) < 0.66, 0, rng.integers(0, clusters, len(x)))
+        x = 0.25 * x + rng.normal(size=(clusters, 24))[of]
+    x *= rng.uniform(0.9, 1.1, (len(x), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    table, cells, routed = hnsw.index(hnsw.usable(df), shard)
+    sizes = [len(r["counts"]) // 4 for r in table.select("counts").collect()]
+    assert sum(sizes) == len(x) and max(sizes) <= 1.3 * (shard or hnsw.shard_size(len(x), 24))
+    # neighbours in all directions can't be routed, nor two cells; those in clusters are found in fewer of 20 cells
+    assert bool(routed) == bool(clusters and shard) and (not routed or routed[24].visits < len(routed[24].centres))
+    out = defaultdict(list)
+    for r in hnsw.search(df, df.where("vec_id % 20 = 0"), shard=shard).collect():
+        out[r.query_id].append(r.vec_id)
+    assert set(out) == set(range(0, len(x), 20)) and all(len(v) == 20 for v in out.values())
+    product = x[::20] @ x.T
+    product[np.arange(len(product)), np.arange(0, len(x), 20)] = -np.inf
+    want = np.argsort(-product, axis=1)[:, :20]
+    assert sum(len(set(out[20 * i]) & set(w.tolist())) for i, w in enumerate(want)) >= 0.95 * want.size
+
+
+def test_shards_grow_as_a_root_up_to_their_bytes():
+    assert [hnsw.shard_size(n, 64) for n in (10, 6000, 600_000, 10**9, 10**12)] == [6000, 6000, 60_000, 65_536, 65_536]
+    assert hnsw.shard_size(10**9, 4096) == 1024
+
+
 # 5
 
 
