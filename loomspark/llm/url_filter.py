@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
@@ -15,15 +16,47 @@ from loomspark.llm._common import ascii_lower
 #: Fixed values: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: The words that the labelled table is made of: label 1 (unwanted) and 0.
-UNWANTED = ("adult-x", "adult", "spam-farm", "spam", "casino", "casino-bonus", "porn", "xxx", "pills", "cheap-pills", "warez", "free-crack", "betting", "poker", "escort", "viagra", "clickbait", "malware", "phish-login", "link-farm", "loan-shark", "torrent", "gambling", "lottery-win")
-WANTED = ("news", "library", "science", "museum", "garden", "recipes", "history", "weather", "school", "university", "travel", "music", "health", "sports", "blog", "docs", "forum", "wiki", "journal", "theatre", "archive", "city", "therthe", "thinter")
-
-
-def labelled(spark: SparkSession) -> DataFrame:
-    """The labelled table: url, label; every word as a host under each ending, with a few paths."""
-    shapes = ("https://{w}.example.com/en/12", "http://www.{w}.example.net/fr/345.html", "https://m.{w}.example.org/de/6789/", "https://blog.{w}.test/es/42?page=2", "http://{w}.test/index.html#top")
-    return spark.createDataFrame([(s.format(w=w), float(y)) for y, words in ((1, UNWANTED), (0, WANTED)) for w in words for s in shapes], "url string, label double").coalesce(1)
+#: Fixed values of the labelled table: words of unwanted sites (label 1), of wanted ones (0), and words of both.
+UNWANTED = (
+    "adult", "affiliate", "baccarat", "betting", "bingo", "blackjack", "bookmaker", "botnet", "camgirls", "casino", "clickbait", "cracked", "cryptodouble", "darkmarket", "dating",
+    "erotic", "escort", "fakeid", "fetish", "forex", "gamble", "gambling", "giveaway", "hacked", "hookup", "jackpot", "keygen", "linkfarm", "loanshark", "lottery",
+    "lotto", "malware", "milf", "nude", "onlinepharmacy", "payday", "phishing", "pills", "pirate", "poker", "popunder", "porn", "prizes", "ransom", "replica",
+    "roulette", "scam", "seolinks", "sexy", "slots", "spam", "spyware", "steroids", "stripper", "sweepstake", "torrent", "tracker", "viagra", "wager", "warez", "webcam", "xanax", "xxx",
+)
+WANTED = (
+    "academy", "archive", "astronomy", "atlas", "baking", "biology", "blog", "botany", "chemistry", "church", "city", "climate", "college", "cooking", "council",
+    "court", "cycling", "dictionary", "docs", "economy", "engineering", "farm", "fishing", "forum", "garden", "geology", "government", "grammar", "hiking", "history",
+    "hospital", "housing", "journal", "kitchen", "language", "law", "library", "literature", "maps", "mathematics", "medicine", "museum", "music", "nature", "news",
+    "opera", "painting", "parliament", "physics", "poetry", "radio", "railway", "recipes", "research", "school", "science", "sports", "theatre", "travel", "university", "weather", "wiki", "winter",
+)
+BOTH = ("best", "club", "free", "games", "home", "live", "my", "new", "online", "page", "shop", "top", "web", "world")
+STARTS = ("b", "br", "c", "ch", "cl", "d", "dr", "f", "fl", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "pl", "qu", "r", "s", "sh", "st", "t", "th", "tr", "v", "w", "y", "z")
+VOWELS = ("a", "e", "i", "o", "u", "ea", "io", "ou")
+ENDS = ("", "n", "r", "s", "t", "l", "nd", "st", "th", "ck", "ng", "m", "d")
+HOSTS = ("{w}.{t}", "www.{w}.{t}", "{w}{b}.{t}", "{b}-{w}.{t}", "{w}-{b}.{t}", "{w}{d}.{t}", "{n}-{w}.{t}", "{w}.{n}.{t}", "m.{b}{w}.{t}", "{n}.{t}")
+ENDINGS = ("com", "net", "org", "info", "io", "co.uk", "de", "fr", "test", "example.com", "example.net", "example.org")
+PATHS = ("", "/", "/index.html", "/{n}/{d}", "/{d}/", "/{b}/{d}.html", "/{n}-{b}?id={d}", "/en/{n}.php#top", "/a/{n}/{b}/{d}")
+#: Addresses for a word; names that mean nothing (wanted too), and addresses for each.
+EACH, NAMES, NAMED = 20, 600, 4
+
+
+def labelled(spark: SparkSession, use=lambda word, number: True) -> DataFrame:
+    """The labelled table: url, label; addresses made of words and of names that mean nothing, those that use(word,
+    number of its address) takes.
+
+    A word stands in the host, or in every tenth address in the path of a host that means nothing.
+    """
+    pick = lambda options, *key: options[zlib.crc32(repr(key).encode()) % len(options)]
+    name = lambda *key: "".join(pick(part, key, i, j) for i in range(2) for j, part in enumerate((STARTS, VOWELS, ENDS)))
+    words = [(w, 1.0, EACH) for w in UNWANTED] + [(w, 0.0, EACH) for w in WANTED] + [(name("name", i), 0.0, NAMED) for i in range(NAMES)]
+    rows = []
+    for at, (word, label, each) in enumerate(words):
+        for i in (i for i in range(at, at + each) if use(word, i)):
+            parts = {"w": word, "n": name(word, i), "b": pick(BOTH, word, i, "b"), "d": zlib.crc32(repr((word, i)).encode()) % 10 ** (1 + i % 5), "t": pick(ENDINGS, word, i, "t")}
+            shape = HOSTS[i % len(HOSTS)]
+            path = pick(PATHS, word, i, "path") if "{w}" in shape else "/{w}/{d}"
+            rows.append((("http", "https")[i % 2] + "://" + (shape + path).format(**parts), label))
+    return spark.createDataFrame(rows, "url string, label double").coalesce(1)
 
 
 def host(url: Column) -> Column:
@@ -57,10 +90,10 @@ def grams(host: Column, path: Column, sizes=(3, 4)) -> Column:
 class UrlFilter:
     """A fitted filter; labelled: url and label (1: unwanted)."""
 
-    def __init__(self, labelled: DataFrame, dims: int = 1 << 14, at: float = 0.5, rules=RULES):
+    def __init__(self, labelled: DataFrame, dims: int = 1 << 16, at: float = 0.5, rules=RULES, reg: float = 0.001):
         self.rules, self.at = rules, at
         self.hashing = HashingTF(inputCol="__loom_grams", outputCol="__loom_features", numFeatures=dims, binary=True)
-        self.model = LogisticRegression(featuresCol="__loom_features", labelCol="label", probabilityCol="__loom_probability", rawPredictionCol="__loom_raw", predictionCol="__loom_predicted", regParam=0.01, maxIter=40, standardization=False).fit(self._features(labelled))
+        self.model = LogisticRegression(featuresCol="__loom_features", labelCol="label", probabilityCol="__loom_probability", rawPredictionCol="__loom_raw", predictionCol="__loom_predicted", regParam=reg, maxIter=40, standardization=False).fit(self._features(labelled))
 
     def _features(self, df: DataFrame) -> DataFrame:
         return self.hashing.transform(df.withColumn("__loom_grams", grams(host(F.col("url")), path(F.col("url")))))
