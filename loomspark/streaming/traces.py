@@ -16,9 +16,16 @@ from loomspark.sources.text import ORDER
 
 TRACE = "block_id string, chunk long, event_sequence array<string>, record_ids array<string>, first_timestamp timestamp, last_timestamp timestamp, record_count int, closed_reason string"
 
+#: The last time of a trace without times.
+NEVER = -(1 << 62)
+
 
 def stream_lines(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """raw, file, id of the lines of text files that appear in a folder; empty lines go. The rate is files a trigger."""
+    """raw, file, id of the lines of text files that appear in a folder; empty lines go. The rate is files a trigger.
+
+    An id hashes a line's file, its split and text, the same when a batch is tried again; a stream can't number lines, so
+    equal lines of a split have equal ids, and finalize() counts them.
+    """
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -64,37 +71,41 @@ class TraceProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
         new = new.sort_values(self.order, kind="stable")
-        chunk, events, terminal, last = self.meta.get() if self.meta.exists() else (0, 0, False, -1)
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        timer = max((int(r[2]) // 1000 for r in held if r[2] is not None), default=None)
+        chunk, events, terminal, last = self.meta.get() if self.meta.exists() else (0, 0, False, NEVER)
+        # rows of earlier batches stay in the state store, and are read only when their trace closes
+        fresh, before, timer = [], self.rows.exists(), last
         for event, own, ts in zip(new["event_id"], new["id"], new["micros"], strict=True):
             event = None if event is None or event != event else event
-            held.append((event, own, None if ts != ts else int(ts)))
+            fresh.append((event, own, None if ts != ts else int(ts)))
             events += event is not None
             terminal = terminal or event in self.terminal
             if events >= self.most:
-                yield self._emit(key, held, chunk, "evicted")
-                held, events, terminal, chunk = [], 0, False, chunk + 1
-        if held and terminal:
-            yield self._emit(key, held, chunk, "terminal")
-            held, events, terminal, chunk = [], 0, False, chunk + 1
-        if timer is not None:
-            self.handle.deleteTimer(timer + self.idle)
-        if held:
-            self.rows.put(held)
-            times = [r[2] for r in held if r[2] is not None]
-            if times:
-                self.handle.registerTimer(max(times) // 1000 + self.idle)
-        else:
+                yield self._emit(key, self._stored(before) + fresh, chunk, "evicted")
+                fresh, before, events, terminal, chunk, last = [], False, 0, False, chunk + 1, NEVER
+        if terminal and (fresh or before):
+            yield self._emit(key, self._stored(before) + fresh, chunk, "terminal")
+            fresh, before, events, terminal, chunk, last = [], False, 0, False, chunk + 1, NEVER
+        if not before:
             self.rows.clear()
+        if fresh:
+            self.rows.appendList(fresh)
+        last = max([last, *(r[2] // 1000 for r in fresh if r[2] is not None)])
+        if timer != last:
+            if timer != NEVER:
+                self.handle.deleteTimer(timer + self.idle)
+            if last != NEVER:
+                self.handle.registerTimer(last + self.idle)
         self.meta.update((chunk, events, terminal, last))
 
+    def _stored(self, before: bool) -> list:
+        return [tuple(r) for r in self.rows.get()] if before else []
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.rows.exists():
             chunk, *_ = self.meta.get()
-            yield self._emit(key, [tuple(r) for r in self.rows.get()], chunk, "timeout")
+            yield self._emit(key, self._stored(True), chunk, "timeout")
             self.rows.clear()
-            self.meta.update((chunk + 1, 0, False, -1))
+            self.meta.update((chunk + 1, 0, False, NEVER))
 
     def close(self) -> None:
         pass
@@ -127,9 +138,14 @@ def stream_rates(parsed: DataFrame, width: str = "1 hour", delay: str = "0 secon
 
 
 def finalize(records: DataFrame, emitted: DataFrame, order: Sequence[str], **options) -> DataFrame:
-    """Traces of the records that no emitted trace holds, closed as a batch closes them at its end."""
-    done = emitted.select(F.explode("record_ids").alias("id"))
-    return traces(records.join(done, "id", "left_anti"), order, **options)
+    """Traces of the records that no emitted trace holds, closed as a batch closes them at its end.
+
+    Records with equal ids, equal lines of a split, are left as many as weren't emitted, the last of them.
+    """
+    done = emitted.select(F.explode("record_ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("_done"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*order))
+    left = records.withColumn("_place", place).join(done, "id", "left").where(F.col("_place") > F.coalesce("_done", F.lit(0)))
+    return traces(left.drop("_place", "_done"), order, **options)
 
 
 def run_batches(df: DataFrame, checkpoint: str, handler: Callable[[DataFrame, int], None], interval: str | None = None, available_now: bool = False):

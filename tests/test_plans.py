@@ -136,6 +136,19 @@ def test_streaming_late_rows(spark, tmp_path):
     assert len({(r["block_id"], r["chunk"]) for r in got}) == len(got)
 
 
+def test_streaming_equal_lines(spark, tmp_path):
+    """Of equal lines the finalizer keeps those that no trace has, as many as there are."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = "081109 200000 1 INFO a: E1 blk_1"
+    (folder / "0.log").write_text("\n".join([line] * 5) + "\n")
+    got = _stream(spark, str(folder), str(tmp_path / "ck"), max_records_per_trace=3)
+    assert [(r["closed_reason"], r["record_count"]) for r in got] == [("evicted", 3)]
+    records = spark.createDataFrame([(i, got[0]["record_ids"][0], "blk_1", "E1", got[0]["first_timestamp"]) for i in range(5)], "seq long, id string, block_id string, event_id string, timestamp timestamp")
+    rest = streaming.finalize(records, spark.createDataFrame(got), ["seq"]).collect()
+    assert [(r["block_id"], r["record_count"], r["closed_reason"]) for r in rest] == [("blk_1", 2, "shutdown")]
+
+
 def test_streaming_windows(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
