@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _below(key: Column, bounds: Sequence[float]) -> Column:
+    """How many of the ascending bounds are below key, by bisection: there are as many bounds as runs, and an expression
+    that names each overflows the planner's stack."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.lit(np.array(bounds)), F.lit(np.array([1 << i for i in reversed(range(len(bounds).bit_length()))], dtype="int32"))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(key > F.get(table, at + step - 1), at + step).otherwise(at))
+
+
 def chunked(df: DataFrame, order: Sequence[str], window: int, rows: int) -> DataFrame:
     """df cut into runs of about rows rows in order (_chunk), each led by the window rows before it (_halo).
 
@@ -38,11 +48,8 @@ def chunked(df: DataFrame, order: Sequence[str], window: int, rows: int) -> Data
     n = df.count()
     runs = max(1, n // max(1, rows))
     shares = [i / runs for i in range(1, runs)]
-    bounds = sorted(set(df.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(10_000))).first()[0] or [])) if shares and n else []
-    chunk = F.lit(0)
-    for b in bounds:
-        chunk = chunk + (key > b).cast("int")
-    df = df.withColumn("_chunk", chunk.cast("int")).withColumn("_halo", F.lit(False))
+    bounds = sorted(set(df.agg(F.percentile_approx(key, F.lit(np.array(shares)), F.lit(10_000))).first()[0] or [])) if shares and n else []
+    df = df.withColumn("_chunk", _below(key, bounds)).withColumn("_halo", F.lit(False))
     if not bounds:
         return df
     counts = {r["_chunk"]: r["c"] for r in df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("c")).collect()}

@@ -210,6 +210,13 @@ def test_long_series_in_runs(spark, rows):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_thousands_of_runs(spark):
+    x = values(4, 4000)
+    got = {r["seq"]: r["score"] for r in detect.ZScore(window_size=5, min_samples=4, chunk_rows=1).fired(series(spark, x), ["timestamp", "seq"]).collect()}
+    want = z_model(x, 3.0, 5, 4)
+    assert len(want) > 100 and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * want[i] for i in want)
+
+
 def test_series_by(spark):
     a, b = values(5), values(6)
     df = series(spark, a).withColumn("source", F.lit("a")).unionByName(series(spark, b).withColumn("source", F.lit("b")))
