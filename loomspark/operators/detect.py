@@ -69,6 +69,17 @@ def chunked(df: DataFrame, order: Sequence[str], window: int, rows: int) -> Data
     return df.unionByName(halo.withColumn("_chunk", F.col("_to")).withColumn("_halo", F.lit(True)).select(*df.columns))
 
 
+def quantile(values: Column, p: float) -> Column:
+    """The interpolated p-quantile of a sorted array of doubles, null without any: low * (1 - d) + high * d as a fused
+    multiply-add, which rounds the first product and the sum once, as the SQL's quantile_cont does. A value on a fence
+    is inside or outside by that bit, and Spark's percentile rounds twice."""
+    place = (F.size(values) - 1) * F.lit(p)
+    at = F.floor(place).cast("int")
+    low, high, d = F.get(values, at), F.get(values, at + 1), place - at
+    fused = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - d, high * d).cast("double")
+    return F.when(d == 0, low).when(low.isNotNull(), fused)
+
+
 class _Detector:
     """score() adds columns to every numeric row; fired() keeps those that are anomalies."""
 
@@ -172,13 +183,14 @@ class Iqr(_Detector):
     def score(self, df, order, series_by=()):
         rows, w = self._windowed(df, order, series_by, self.window)
         x = F.col(self.metric)
-        out = self._own(rows.withColumns({"_n": F.count(x).over(w), "_q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).over(w)}))
-        q1, q3 = F.col("_q")[0], F.col("_q")[1]
+        out = self._own(rows.withColumns({"_n": F.count(x).over(w), "_held": F.collect_list(x).over(w)}))
+        out = out.withColumn("_held", F.sort_array("_held")).withColumns({"_q1": quantile(F.col("_held"), 0.25), "_q3": quantile(F.col("_held"), 0.75)}).drop("_held")
+        q1, q3 = F.col("_q1"), F.col("_q3")
         use = (F.col("_n") >= self.least) & (q3 > q1)
         out = out.withColumn("lower_fence", F.when(use, q1 - self.k * (q3 - q1))).withColumn("upper_fence", F.when(use, q3 + self.k * (q3 - q1)))
         side = F.when(x < F.col("lower_fence"), "below").when(x > F.col("upper_fence"), "above")
         out = out.withColumn("side", side).withColumn("score", F.when(F.col("side") == "below", F.col("lower_fence") - x).when(F.col("side") == "above", x - F.col("upper_fence")))
-        return out.withColumn("window_size", F.least(F.col("_n") + 1, F.lit(self.window)).cast("long")).withColumn("fired", F.col("side").isNotNull()).drop("_n", "_q")
+        return out.withColumn("window_size", F.least(F.col("_n") + 1, F.lit(self.window)).cast("long")).withColumn("fired", F.col("side").isNotNull()).drop("_n", "_q1", "_q3")
 
     def metadata(self):
         return {"metric_key": F.lit(self.metric), "value": F.col(self.metric), **{c: F.col(c) for c in ("lower_fence", "upper_fence", "side", "window_size")}}

@@ -199,6 +199,23 @@ def test_detectors_against_models(spark, seed, parts):
         assert {r["log_record_id"] for r in anomalies} == {f"r{i}" for i in want} and {r["detector_name"] for r in anomalies} == {detector.name}
 
 
+def test_values_on_a_fence(spark):
+    """The last bit of a quartile decides; the SQL's quantile_cont is a fused multiply-add."""
+    import duckdb
+
+    from loomspark.streaming.series import detector_step
+
+    cases = [[0.43, 4.38, 5.8, 9.19, 11.53], [0.43, 4.38, 5.8, 9.19, -1.49], [2.16, 2.36, 14.95, 16.15, -17.1], [3.5, 4.3, 8.69, 10.17, 16.5], [3.5, 4.3, 8.69, 10.17, -3.34], [2.99, 9.15, 14.23, 17.43, 26.16]]
+    rows = [(k, i, f"{k}.{i}", x) for k, c in enumerate(cases) for i, x in enumerate(c)]
+    detector = detect.Iqr(window_size=4, min_samples=4)
+    got = {r["k"] for r in detector.fired(spark.createDataFrame(rows, "k int, seq int, id string, metric double"), ["seq"], ["k"]).collect()}
+    q = "SELECT quantile_cont(x, 0.25), quantile_cont(x, 0.75) FROM (SELECT unnest(?::DOUBLE[]) AS x)"
+    fences = [(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) for q1, q3 in (duckdb.execute(q, [c[:4]]).fetchall()[0] for c in cases)]
+    assert got == {3, 4} == {k for k, (c, (low, high)) in enumerate(zip(cases, fences, strict=True)) if not low <= c[4] <= high}
+    step = detector_step(detector)
+    assert got == {k for k, c in enumerate(cases) if step([], c)[1][4][1]}
+
+
 @pytest.mark.parametrize("rows", [7, 60, 150, 1000])
 def test_long_series_in_runs(spark, rows):
     x = values(4)
