@@ -127,9 +127,13 @@ def stream_traces(parsed: DataFrame, order: Sequence[str] = ("timestamp", "id"),
 
 
 def stream_sessions(parsed: DataFrame, gap: str = "30 seconds") -> DataFrame:
-    """Plain gap sessions by block: start, end, records, by Spark's own session windows; late rows are dropped."""
+    """Plain gap sessions by block: start, end (the last time and the gap), records, by Spark's own session windows; late
+    rows are dropped. A row exactly a gap after the last one begins a session, as ends are exclusive: Spark joins windows
+    that touch, so they are shorter by a microsecond, which is the resolution of times."""
     rows = with_block(parsed).withWatermark("timestamp", gap)
-    return rows.groupBy("block_id", F.session_window("timestamp", gap).alias("w")).agg(F.count(F.lit(1)).alias("records")).select("block_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "records")
+    tick = F.expr("interval 1 microsecond")
+    out = rows.groupBy("block_id", F.session_window("timestamp", f"{gap} -1 microseconds").alias("w")).agg(F.count(F.lit(1)).alias("records"))
+    return out.select("block_id", F.col("w.start").alias("start"), (F.col("w.end") + tick).alias("end"), "records")
 
 
 def stream_rates(parsed: DataFrame, width: str = "1 hour", delay: str = "0 seconds", by: Sequence[str] = ()) -> DataFrame:

@@ -162,6 +162,22 @@ def test_streaming_windows(spark, tmp_path):
         assert out
 
 
+def test_session_gap_is_exclusive(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.log").write_text("".join(f"081109 {t} 1 INFO a: x blk_1\n" for t in ("200000", "200500", "200959", "201459", "203000")))
+    from loomspark.functions.parsing import parse
+
+    want = [("20:00:00", "20:05:00", 1), ("20:05:00", "20:14:59", 2), ("20:14:59", "20:19:59", 1), ("20:30:00", "20:35:00", 1)]
+    seen = lambda rows: sorted((f"{r['start']:%H:%M:%S}", f"{r['end']:%H:%M:%S}", r["records"]) for r in rows)
+    lines = spark.read.text(str(folder)).select(F.col("value").alias("raw"), F.col("value").alias("id"))
+    assert seen(streaming.stream_sessions(parse(lines, "hdfs"), "5 minutes").collect()) == want
+    out = []
+    df = streaming.stream_sessions(parse(streaming.stream_lines(spark, str(folder)), "hdfs"), "5 minutes")
+    streaming.run_batches(df, str(tmp_path / "ck"), lambda b, _: out.extend(b.collect()), available_now=True).awaitTermination(60)
+    assert seen(out) == want[:3]
+
+
 def test_train_and_evaluate(spark, tmp_path, capsys, monkeypatch):
     from loomspark.__main__ import main
     from loomspark.plans import evaluation
