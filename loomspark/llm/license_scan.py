@@ -47,8 +47,9 @@ LONG = 8
 
 def _words(text: Column) -> Column:
     """The words of a text. Letters beyond A-Z are lower-cased with them, which leaves places and ASCII words as they are
-    once the Kelvin sign, the one letter whose lower case alone is ASCII, is out of the way."""
-    return F.regexp_extract_all(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), F.lit(WORD), F.lit(0))
+    once the Kelvin sign, the one letter whose lower case alone is ASCII, is out of the way. The text is split between
+    words, which is many times cheaper than extracting each."""
+    return F.array_remove(F.split(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b"))), WORD.replace("[^", "[")), "")
 
 
 def frequencies(docs: DataFrame, tokens: list[str]) -> dict[str, int]:
